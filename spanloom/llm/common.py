@@ -58,17 +58,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    atexit.register(release, out)
+    # the driver drops its references to the shuffles behind df, and so their files go
+    spark.sparkContext._jvm.System.gc()
+    return out
 
-    def remove() -> None:
-        try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-        except Exception:  # the JVM may be gone already
-            pass
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    path = df.__dict__.pop("_scratch", None)
+    try:
+        if path:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # at exit the JVM may be gone already
+        pass
 
 
 def small_side(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:

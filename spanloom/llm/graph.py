@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.llm.common import materialize
+from spanloom.llm.common import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     if not before[0]:
         return spark.createDataFrame([], "node long, component long")
     for _ in range(most_rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        old, now = now, materialize(_small_star(_large_star(now)), "edges")
+        release(old)
         after = mark(now)
         if after == before:
             break

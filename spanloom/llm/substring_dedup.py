@@ -23,7 +23,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.llm.common import materialize, rolling, signed, word_hashes, words
+from spanloom.llm.common import materialize, release, rolling, signed, small_side, word_hashes, words
 
 WINDOW = 20
 ANCHOR = 8
@@ -101,10 +101,12 @@ def _apply(window: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, cut, out = [], [], []
-            for text, later in zip(batch.column(1), batch.column(2), strict=True):
+            for text, later, copy in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 ws = words(text.as_py())
                 if len(ws) < window:
                     kept, gone = ws, 0
+                elif copy:
+                    kept, gone = [], len(ws)
                 else:
                     mask = removed_words(len(ws), signed(rolling(word_hashes(ws), window)), later.values.to_numpy() if later.is_valid else np.empty(0, np.int64), window)
                     gone = int(mask.sum())
@@ -121,17 +123,26 @@ def _apply(window: int, digest: bool):
     return run
 
 
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """Ids of the documents whose whole text an earlier document has."""
+    hashed = docs.select("id", F.md5(F.col("text").cast("binary")).alias("m")).where("m IS NOT NULL")
+    first = hashed.groupBy("m").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    return hashed.join(first, "m").where("id > first").select("id").distinct()
+
+
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows (id, later array<long>): the windows of each document that start
     in an earlier one.  ``docs`` has (id, text)."""
     anchors = materialize(docs.mapInArrow(_anchors(window), "h long, id long, at int"), "anchors")
     repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    flags = anchors.join(repeated, "h", "left_semi").groupBy("id").agg(F.collect_list("at").alias("flags"))
+    flags = materialize(anchors.join(repeated, "h", "left_semi").groupBy("id").agg(F.collect_list("at").alias("flags")), "flags")
+    release(anchors)
     met = docs.join(flags, "id").select("id", "text", "flags")
     found = materialize(met.mapInArrow(_candidates(window), "h1 long, h2 int, id long"), "windows")
     first = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    later = found.join(first, ["h1", "h2"]).where("id > first")
-    return later.groupBy("id").agg(F.collect_set("h1").alias("later"))
+    later = materialize(found.join(first, ["h1", "h2"]).where("id > first").groupBy("id").agg(F.collect_set("h1").alias("later")), "later")
+    release(found)
+    return later
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -142,11 +153,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     covers it also starts earlier: in a document of smaller doc_id, or earlier
     in its own.  Windows are judged on the input.  Shorter texts lose nothing;
     extra columns are ignored; an empty table gives an empty result.
+
+    Copies of an earlier text lose every window, so only first texts are
+    hashed: no window of a copy is first anywhere.
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.col("text").cast("string").alias("text"))
-    joined = own.join(later_windows(own, window), "id", "left")
+    copies = materialize(exact_copies(own), "copies")
+    n = copies.count()
+    later = later_windows(own.join(small_side(copies, n), "id", "left_anti"), window)
+    known = later.select("id", "later", F.lit(False).alias("copy")).union(copies.select("id", F.lit(None).cast("array<bigint>"), F.lit(True)))
+    # rows of one doc_id with different texts may be a copy and none
+    known = known.groupBy("id").agg(F.max("later").alias("later"), F.max("copy").alias("copy")).withColumn("copy", F.col("copy") & F.col("later").isNull())
+    joined = own.join(known, "id", "left")
     kind = "kept_sha256" if digest else "kept_text"
-    out = joined.select(F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"), "text", "later").mapInArrow(
+    return joined.select(F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"), "text", "later", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(
         _apply(window, digest), f"doc_id long, n_words long, n_removed long, {kind} string"
     )
-    return out
