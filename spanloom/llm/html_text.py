@@ -133,7 +133,10 @@ def parse(html: str, by_name: bool = True) -> Node:
             continue
         if tag in _RAW:
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
-            at = stop.end() if stop else end
+            if stop:
+                at = stop.end()
+            elif tag in ("script", "style"):
+                at = end
             continue
         if not m[3].endswith("/"):
             here = node

@@ -67,8 +67,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     sized = materialize(sized, "sizes")
     rates = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     n = rates.count()
-    r = rates.select(F.col("source").alias("_source"), "source_size", "rate", "target")
-    tried = _with_rates(sized, r, n, F.col("source").eqNullSafe(F.col("_source")))
+    r = rates.select(F.col("source").alias("_mix_source"), "source_size", "rate", "target")
+    tried = _with_rates(sized, r, n, F.col("source").eqNullSafe(F.col("_mix_source")))
     extra = F.col("rate") - F.floor("rate")
     sums = [F.sum(F.when(uniform(F.col("doc_id"), F.lit(k)) < extra, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(SEEDS)]
     # the words that whole copies take are the same under every seed
@@ -79,10 +79,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
 
 
 def _copies(docs: DataFrame, rates: DataFrame, n: int) -> DataFrame:
-    r = rates.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
-    met = _with_rates(docs, r, n, F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    lucky = uniform(F.col("doc_id"), F.col("_seed")) < F.col("_rate") - F.floor("_rate")
-    return met.withColumn("_copies", (F.floor("_rate") + lucky.cast("int")).cast("int"))
+    r = rates.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"), F.col("rate").alias("_mix_rate"), F.col("seed").alias("_mix_seed"))
+    met = _with_rates(docs, r, n, F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
+    lucky = uniform(F.col("doc_id"), F.col("_mix_seed")) < F.col("_mix_rate") - F.floor("_mix_rate")
+    return met.withColumn("_mix_copies", (F.floor("_mix_rate") + lucky.cast("int")).cast("int"))
 
 
 def assign(docs: DataFrame, **how) -> DataFrame:
@@ -97,12 +97,12 @@ def assign(docs: DataFrame, **how) -> DataFrame:
     rates, n = plan(docs, **how)
     size = n_words(F.col("text"))
     return _copies(docs, rates, n).select(
-        "doc_id", size.alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), (size * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies")
+        "doc_id", size.alias("size"), F.col("_mix_size").alias("source_size"), F.col("_mix_target").alias("target"), (size * F.col("_mix_copies")).alias("taken"), F.col("_mix_copies").alias("copies")
     )
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it."""
     rates, n = plan(docs, **how)
-    out = _copies(docs, rates, n).where("_copies > 0")
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    out = _copies(docs, rates, n).where("_mix_copies > 0")
+    return out.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
