@@ -49,8 +49,8 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY so
 w AS (SELECT *, CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight FROM s),
 c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM w),
 t AS (SELECT a.source, a.source_size, a.cap, a.weight,
-  (SELECT min(lv) FROM (SELECT (any_value(y.total) - coalesce(sum(CASE WHEN x.cap / x.weight < y.cap / y.weight THEN x.cap END), 0::DOUBLE)) / sum(CASE WHEN x.cap / x.weight >= y.cap / y.weight THEN x.weight END) AS lv,
-     any_value(y.cap / y.weight) AS top FROM c x, c y GROUP BY y.source) WHERE lv <= top AND lv >= 0) AS water FROM c a),
+  (SELECT arg_min(lv, top) FROM (SELECT (any_value(y.total) - coalesce(sum(CASE WHEN x.cap / x.weight < y.cap / y.weight THEN x.cap END), 0::DOUBLE)) / sum(CASE WHEN x.cap / x.weight >= y.cap / y.weight THEN x.weight END) AS lv,
+     any_value(y.cap / y.weight) AS top FROM c x, c y GROUP BY y.source) WHERE lv <= top) AS water FROM c a),
 g AS (SELECT source, source_size, least(cap, water * weight) AS target, CASE WHEN source_size > 0 THEN least(cap, water * weight) / source_size ELSE 0 END AS rate FROM t),
 u AS (SELECT d.*, g.source_size, g.target, g.rate, k AS seed,
   CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(k AS VARCHAR)), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE < rate - floor(rate) AS lucky
