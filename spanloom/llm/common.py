@@ -21,6 +21,11 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
+#: Rows of an Arrow batch while a table is written: long texts by the ten
+#: thousand would fill a Python worker.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,7 +62,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    held = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(held)) if int(held) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, held)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     atexit.register(release, out)
