@@ -4,7 +4,10 @@ Each of ``SKETCHES`` repetitions samples the ``PICKS`` least labelled
 five-word shingles under its own hash and keeps them in text order; the key is
 a hash of that sequence.  Texts that share a key in some repetition are
 candidates.  At a similarity of 0.8 a pair shares a given key with probability
-0.8**6 = 0.26 or so and misses all 40 with probability under 1e-5.
+0.8**6 = 0.26 or so and misses all 40 with probability under 1e-5.  Six of few
+shingles are almost the whole text, so texts of up to ``SHORT`` shingles also
+get ``SHORT_SKETCHES`` keys of ``SHORT_PICKS`` shingles; any pair of which one
+text has up to 12 shares these (at least 0.4 each, all missed: 5e-6).
 
 Verification aligns the two shingle sequences inside a band: the similarity is
 m / (a + b - m) for the m shingles that stand in the same order in both texts.
@@ -14,9 +17,10 @@ cannot leave the band of max(a, b) - s / (1 + s) * (a + b) positions.
 
 Equal texts form classes first, and only class representatives are sketched
 against each other, so a group of copies costs one aggregation.  Within a
-bucket every member is compared with its ``CENTERS`` members of highest degree:
-all pairs up to nine members, linear work beyond; a member that such centres
-miss still meets its partners in the buckets of the other repetitions.
+bucket every member is compared with its ``CENTERS`` members of highest degree.
+Members that these leave in different components go on to further rounds with
+more centres until all of them were compared: linear work for a bucket of near
+copies, and no link between components is lost in one of unlike texts.
 """
 
 from __future__ import annotations
@@ -35,6 +39,9 @@ from spanloom.llm.graph import connected_components
 
 SKETCHES = 40
 PICKS = 6
+SHORT = 15
+SHORT_SKETCHES = 24
+SHORT_PICKS = 3
 CENTERS = 8
 SALTS = 32
 
@@ -47,7 +54,8 @@ def _picks(row: np.ndarray, k: int) -> np.ndarray:
 
 
 def order_minhash(shingles: np.ndarray) -> np.ndarray:
-    """One key for each repetition; an empty text has none."""
+    """One key for each repetition, and the keys of short texts after these; an
+    empty text has none."""
     n = len(shingles)
     if not n:
         return np.empty(0, np.int64)
@@ -74,6 +82,10 @@ def order_minhash(shingles: np.ndarray) -> np.ndarray:
         else:
             for i in range(len(x)):
                 out[at + i] = _key(shingles, _picks(x[i], k))
+    if n <= SHORT:
+        # all repetitions of a short text were hashed at once
+        few = [_key(shingles, _picks(row, min(SHORT_PICKS, n))) for row in x[:SHORT_SKETCHES]]
+        out = np.concatenate([out, np.array(few, np.uint64)])
     return signed(out)
 
 
@@ -158,31 +170,90 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of class ids that share a key and of which one is
-    a centre of the bucket."""
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(r, key, id, size, n, degree): the members of all keys that several
+    classes share, n to a bucket; degree sums n over a member's buckets."""
     rows = classes.where("size > 0").select("id", "size", F.posexplode("keys").alias("r", "key"))
     shared = rows.groupBy("r", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(rows.join(shared, ["r", "key"]), "buckets")
-    degree = met.groupBy("id").agg(F.sum("n").alias("degree"))
-    met = met.join(degree, "id")
-    first = [F.col("degree").desc(), F.col("id")]
+    return met.join(met.groupBy("id").agg(F.sum("n").alias("degree")), "id")
+
+
+def _centers(members: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` members (r, key, c, c_size, c_component) of each
+    bucket: those outside its largest component, then by degree.  Salts keep a
+    hot bucket from being sorted in one task."""
+    first = ["inner", F.col("degree").desc(), F.col("id")]
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    some = met.withColumn("salt", salt).withColumn("k", F.row_number().over(Window.partitionBy("r", "key", "salt").orderBy(*first))).where(F.col("k") <= CENTERS)
-    centers = some.withColumn("k", F.row_number().over(Window.partitionBy("r", "key").orderBy(*first))).where(F.col("k") <= CENTERS)
-    centers = centers.select("r", "key", F.col("id").alias("c"), F.col("size").alias("c_size"))
-    near = met.join(centers, ["r", "key"]).where(
-        (F.col("id") != F.col("c")) & (F.least("size", "c_size") >= SIMILARITY * F.greatest("size", "c_size") - 1e-9)
+    some = members.withColumn("salt", salt).withColumn("k", F.row_number().over(Window.partitionBy("r", "key", "salt").orderBy(*first))).where(F.col("k") <= most)
+    best = some.withColumn("k", F.row_number().over(Window.partitionBy("r", "key").orderBy(*first))).where(F.col("k") <= most)
+    return best.select("r", "key", F.col("id").alias("c"), F.col("size").alias("c_size"), F.col("component").alias("c_component"))
+
+
+def _pairs(members: DataFrame, centers: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a member and a centre of its bucket that no
+    component joins yet and whose sizes allow the similarity."""
+    near = members.join(centers, ["r", "key"]).where(
+        (F.col("component") != F.col("c_component")) & (F.least("size", "c_size") >= SIMILARITY * F.greatest("size", "c_size") - 1e-9)
     )
     return near.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
+def _open(members: DataFrame, centers: DataFrame, comp: DataFrame) -> DataFrame:
+    """What is left to compare: the members that were no centres, of buckets in
+    which these belong to several components."""
+    left = members.drop("component", "inner").join(centers.select("r", "key", F.col("c").alias("id")), ["r", "key", "id"], "left_anti")
+    left = left.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = left.groupBy("r", "key", "component").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("r", "key").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return left.join(mixed.select("r", "key", "main"), ["r", "key"]).withColumn("inner", F.col("component") == F.col("main")).drop("main")
+
+
+def link_classes(classes: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of the classes: verified pairs (a, b) that join all
+    classes which share a bucket and are similar, and rows (node, component).
+
+    Each round compares the members of a bucket with its centres, and only
+    members of different components.  The first round has ``CENTERS`` of them,
+    each later one four times as many of those left, until no bucket holds two
+    members of different components that were not compared.
+    """
+    spark = classes.sparkSession
+    members = _buckets(classes).withColumn("component", F.col("id")).withColumn("inner", F.lit(False))
+    links = spark.createDataFrame([], "a long, b long, similarity double")
+    comp = spark.createDataFrame([], "node long, component long")
+    tried, most = None, CENTERS
+    while True:
+        centers = materialize(_centers(members, most), "centers")
+        pairs = _pairs(members, centers)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = materialize(_verified(pairs, known), "links")
+        tried = pairs if tried is None else tried.union(pairs)
+        if not found.isEmpty():
+            links = links.union(found)
+            comp = materialize(connected_components(links.select("a", "b")), "components")
+        # a bucket of most + 1 members is done
+        wide = members.where(F.col("n") > CENTERS + 1) if most == CENTERS else members
+        members = materialize(_open(wide, centers, comp), "open")
+        if members.isEmpty():
+            return links, comp
+        most *= 4
+
+
+def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    both = (
+        pairs.join(known.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+        .join(known.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        .select("a", "b", "x", "y")
+    )
+    return both.mapInArrow(_verify, "a long, b long, similarity double")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, class_id, component_id, n_links, kept) per document.
+    """One row (doc_id, class_id, component_id, kept) per document.
 
     ``class_id`` is the least doc_id with an equal text (null counts as
-    empty), ``n_links`` the verified links of that class to other classes,
-    ``component_id`` the least doc_id that links reach.  Texts without words
+    empty), ``component_id`` the least doc_id that links reach.  Texts without words
     are equal to each other only if their characters are.  Rows without a
     doc_id come back with nulls and are kept.  Repeated rows of one doc_id
     with different texts are linked through that id.  Extra columns are
@@ -195,30 +266,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each = materialize(sketched, "sketches")
     firsts = each.groupBy("hi", "lo").agg(F.min(F.struct("id", "size", "keys")).alias("f")).select("hi", "lo", "f.*")
     classes = materialize(firsts, "classes")
-    pairs = materialize(candidate_pairs(classes), "pairs")
-    both = (
-        pairs.join(known.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-        .join(known.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        .select("a", "b", "x", "y")
-    )
-    links = materialize(both.mapInArrow(_verify, "a long, b long, similarity double"), "links")
+    _, comp = link_classes(classes, known)
     member = each.select("id", "hi", "lo").distinct().join(classes.select("hi", "lo", F.col("id").alias("class_id")), ["hi", "lo"]).select("id", "class_id")
     member = member.groupBy("id").agg(F.min("class_id").alias("class_id"))
-    comp = connected_components(links.select("a", "b"))
-    count = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     out = (
         member.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .join(count, "class_id", "left")
-        .select(
-            F.col("id").alias("doc_id"),
-            "class_id",
-            F.coalesce("component", "class_id").alias("component_id"),
-            F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        )
+        .select(F.col("id").alias("doc_id"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
     n = F.lit(None).cast("long")
-    return out.unionByName(texts.where("id IS NULL").select(n.alias("doc_id"), n.alias("class_id"), n.alias("component_id"), n.alias("n_links"), F.lit(True).alias("kept")))
+    return out.unionByName(texts.where("id IS NULL").select(n.alias("doc_id"), n.alias("class_id"), n.alias("component_id"), F.lit(True).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
