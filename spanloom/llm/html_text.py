@@ -51,7 +51,9 @@ _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog fo
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<![^>]*>|<\?[^>]*>", re.DOTALL
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+# whole attributes, so that no value or part of a name passes for one
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TELLING = re.compile("class|id|role|hidden", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
 
@@ -67,7 +69,7 @@ class Node:
 def _is_cut(tag: str, attrs: str) -> bool:
     if tag in _NO_TEXT:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "article", "main") or not _TELLING.search(attrs):
         return False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()

@@ -112,6 +112,21 @@ def test_near_duplicates(spark, odd):
     assert near_dup.drop_near_duplicates(odd.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "attrs",
+    ['style="overflow:hidden"', 'title="a hidden gem"', 'data-id="menu"', "data-class=ad", 'aria-hidden="false"', 'href="/x?id=share"', "href=/x?class=nav", 'title="class=menu"', "data-hidden", 'width="10"'],
+)
+def test_attribute_values_are_no_names(attrs):
+    words = prose(3, 60)
+    assert html_text.main_text(f"<body><div><p>{words}</p><p {attrs}>{words} end</p></div></body>") == f"{words} {words} end"
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'CLASS="main-nav"', "id=sidebar", "role='navigation'", 'style="x" aria-hidden=true', 'data-x="1"class="ad"'])
+def test_named_parts_go(attrs):
+    words = prose(3, 60)
+    assert html_text.main_text(f"<body><div><p>{words}</p><p {attrs}>{words} end</p></div></body>") == words
+
+
 def _by_brute_force(rows):
     """Component of each document, by alignment of every two texts."""
     root = {i: i for i, _ in rows}
