@@ -18,9 +18,9 @@ cannot leave the band of max(a, b) - s / (1 + s) * (a + b) positions.
 Equal texts form classes first, and only class representatives are sketched
 against each other, so a group of copies costs one aggregation.  Within a
 bucket every member is compared with its ``CENTERS`` members of highest degree.
-Members that these leave in different components go on to further rounds with
-more centres until all of them were compared: linear work for a bucket of near
-copies, and no link between components is lost in one of unlike texts.
+Buckets whose other members these leave in different components are compared
+whole, in pairs of blocks: one bounded task counts shared shingles, aligns
+where the count allows the similarity, and returns the edges of a forest.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
@@ -43,10 +44,12 @@ SHORT = 15
 SHORT_SKETCHES = 24
 SHORT_PICKS = 3
 CENTERS = 8
+BLOCK = 512
 SALTS = 32
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _AT_ONCE = 1 << 18
+_COLUMNS = 8192
 
 
 def _picks(row: np.ndarray, k: int) -> np.ndarray:
@@ -209,35 +212,77 @@ def _open(members: DataFrame, centers: DataFrame, comp: DataFrame) -> DataFrame:
     return left.join(mixed.select("r", "key", "main"), ["r", "key"]).withColumn("inner", F.col("component") == F.col("main")).drop("main")
 
 
-def link_classes(classes: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of the classes: verified pairs (a, b) that join all
-    classes which share a bucket and are similar, and rows (node, component).
+def _shared_counts(own: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles each text of rows ``x`` shares with each of rows ``y``."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    row = np.repeat(np.arange(len(own)), [len(o) for o in own])
+    _, col, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    rank = np.cumsum(n > 1) - 1
+    some = n[col] > 1
+    row, col = row[some], rank[col[some]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(col, [at, at + _COLUMNS])
+        held = np.zeros((len(own), _COLUMNS), np.float32)
+        held[row[lo:hi], col[lo:hi] - at] = 1
+        out += held[x] @ held[y].T
+    return out
+
+
+def _compare_block(p: pd.DataFrame) -> pd.DataFrame:
+    """Edges of a forest that joins the similar texts of one pair of blocks."""
+    own = [labelled_shingles(words(t)) for t in p["text"]]
+    ids, comp, size = p["id"].to_numpy(), p["component"].tolist(), np.array([len(o) for o in own])
+    x, y = np.flatnonzero(p["home"]), np.flatnonzero(p["member"])
+    edges: list[tuple[int, int]] = []
+    if len(x) and len(y):
+        both = size[x][:, None] + size[y][None, :]
+        # an alignment keeps at most the shared shingles
+        rows, cols = np.nonzero(_shared_counts(own, x, y) >= SIMILARITY / (1 + SIMILARITY) * both - 1e-6)
+        root = {c: c for c in comp}
+        for i, j in zip(x[rows].tolist(), y[cols].tolist()):
+            a, b = comp[i], comp[j]
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b and aligned_similarity(own[i], own[j]):
+                root[max(a, b)] = min(a, b)
+                edges.append((ids[i], ids[j]))
+    return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+
+def _block_links(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) between open members of different components of a bucket:
+    those outside its largest component against all, in pairs of blocks of
+    ``BLOCK`` texts, each one bounded task that returns a forest, never pairs."""
+    sizes = members.groupBy("r", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nm"), F.ceil(F.count(F.when(~F.col("inner"), 1)) / BLOCK).cast("int").alias("nh"))
+    own = members.join(sizes, ["r", "key"]).withColumn("h", F.pmod(F.xxhash64("id", F.lit(17)), F.col("nh"))).withColumn("m", F.pmod(F.xxhash64("id", F.lit(19)), F.col("nm")))
+    as_member = own.withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("nh") - 1))).select(
+        "r", "key", "hb", F.col("m").alias("mb"), "id", "component", (~F.col("inner") & (F.col("h") == F.col("hb"))).alias("home"), F.lit(True).alias("member")
+    )
+    as_home = own.where(~F.col("inner") & (F.col("nm") > 1)).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("nm") - 1))).where(F.col("mb") != F.col("m"))
+    as_home = as_home.select("r", "key", F.col("h").alias("hb"), "mb", "id", "component", F.lit(True).alias("home"), F.lit(False).alias("member"))
+    rows = as_member.unionByName(as_home).withColumn("hb", F.col("hb").cast("int")).withColumn("mb", F.col("mb").cast("int"))
+    return rows.join(known, "id").groupBy("r", "key", "hb", "mb").applyInPandas(_compare_block, "a long, b long")
 
-    Each round compares the members of a bucket with its centres, and only
-    members of different components.  The first round has ``CENTERS`` of them,
-    each later one four times as many of those left, until no bucket holds two
-    members of different components that were not compared.
-    """
-    spark = classes.sparkSession
+
+def link_classes(classes: DataFrame, known: DataFrame) -> DataFrame:
+    """Components (node, component) of the classes that share a bucket and are
+    similar: first by the centres of each bucket, then, for buckets whose other
+    members these leave in several components, by blocks."""
     members = _buckets(classes).withColumn("component", F.col("id")).withColumn("inner", F.lit(False))
-    links = spark.createDataFrame([], "a long, b long, similarity double")
-    comp = spark.createDataFrame([], "node long, component long")
-    tried, most = None, CENTERS
-    while True:
-        centers = materialize(_centers(members, most), "centers")
-        pairs = _pairs(members, centers)
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(_verified(pairs, known), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        if not found.isEmpty():
-            links = links.union(found)
-            comp = materialize(connected_components(links.select("a", "b")), "components")
-        # a bucket of most + 1 members is done
-        wide = members.where(F.col("n") > CENTERS + 1) if most == CENTERS else members
-        members = materialize(_open(wide, centers, comp), "open")
-        if members.isEmpty():
-            return links, comp
-        most *= 4
+    centers = materialize(_centers(members, CENTERS), "centers")
+    pairs = materialize(_pairs(members, centers), "pairs")
+    links = materialize(_verified(pairs, known).select("a", "b"), "links")
+    comp = materialize(connected_components(links), "components")
+    # a bucket of one more member than centres is done
+    rest = materialize(_open(members.where(F.col("n") > CENTERS + 1), centers, comp), "open")
+    if rest.isEmpty():
+        return comp
+    more = materialize(_block_links(rest, known).distinct(), "more")
+    return comp if more.isEmpty() else connected_components(links.union(more))
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -266,7 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     each = materialize(sketched, "sketches")
     firsts = each.groupBy("hi", "lo").agg(F.min(F.struct("id", "size", "keys")).alias("f")).select("hi", "lo", "f.*")
     classes = materialize(firsts, "classes")
-    _, comp = link_classes(classes, known)
+    comp = link_classes(classes, known)
     member = each.select("id", "hi", "lo").distinct().join(classes.select("hi", "lo", F.col("id").alias("class_id")), ["hi", "lo"]).select("id", "class_id")
     member = member.groupBy("id").agg(F.min("class_id").alias("class_id"))
     out = (

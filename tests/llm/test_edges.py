@@ -150,11 +150,12 @@ def test_short_near_copies_against_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("centers", [1, 8])
-def test_unlike_texts_in_one_bucket_against_brute_force(spark, monkeypatch, centers):
+@pytest.mark.parametrize("centers, block", [(1, 7), (8, 512)])
+def test_unlike_texts_in_one_bucket_against_brute_force(spark, monkeypatch, centers, block):
     """Families share three quarters of their words: they meet in wide buckets
     but only members of one family are near copies."""
     monkeypatch.setattr(near_dup, "CENTERS", centers)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     base, rows = prose(9, 150), []
     for i in range(72):
         w = (base + " " + prose(700 + i // 3, 45)).split()
