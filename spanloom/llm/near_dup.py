@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from spanloom.llm.common import SIMILARITY, labelled_shingles, materialize, mix, signed, words
+from spanloom.llm.common import SIMILARITY, labelled_shingles, materialize, mix, signed, small_side, words
 from spanloom.llm.graph import connected_components
 
 SKETCHES = 40
@@ -231,9 +231,10 @@ def _shared_counts(own: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
 
 
 def _compare_block(p: pd.DataFrame) -> pd.DataFrame:
-    """Edges of a forest that joins the similar texts of one pair of blocks."""
+    """Edges of a forest over the components that similar texts of one pair of
+    blocks join."""
     own = [labelled_shingles(words(t)) for t in p["text"]]
-    ids, comp, size = p["id"].to_numpy(), p["component"].tolist(), np.array([len(o) for o in own])
+    comp, size = p["component"].tolist(), np.array([len(o) for o in own])
     x, y = np.flatnonzero(p["home"]), np.flatnonzero(p["member"])
     edges: list[tuple[int, int]] = []
     if len(x) and len(y):
@@ -249,13 +250,12 @@ def _compare_block(p: pd.DataFrame) -> pd.DataFrame:
                 b = root[b]
             if a != b and aligned_similarity(own[i], own[j]):
                 root[max(a, b)] = min(a, b)
-                edges.append((ids[i], ids[j]))
+                edges.append((comp[i], comp[j]))
     return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
 
 def _block_links(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b) between open members of different components of a bucket:
-    those outside its largest component against all, in pairs of blocks of
+    """Links (a, b) between components of open members of a bucket: those outside its largest component against all, in pairs of blocks of
     ``BLOCK`` texts, each one bounded task that returns a forest, never pairs."""
     sizes = members.groupBy("r", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nm"), F.ceil(F.count(F.when(~F.col("inner"), 1)) / BLOCK).cast("int").alias("nh"))
     own = members.join(sizes, ["r", "key"]).withColumn("h", F.pmod(F.xxhash64("id", F.lit(17)), F.col("nh"))).withColumn("m", F.pmod(F.xxhash64("id", F.lit(19)), F.col("nm")))
@@ -265,7 +265,8 @@ def _block_links(members: DataFrame, known: DataFrame) -> DataFrame:
     as_home = own.where(~F.col("inner") & (F.col("nm") > 1)).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("nm") - 1))).where(F.col("mb") != F.col("m"))
     as_home = as_home.select("r", "key", F.col("h").alias("hb"), "mb", "id", "component", F.lit(True).alias("home"), F.lit(False).alias("member"))
     rows = as_member.unionByName(as_home).withColumn("hb", F.col("hb").cast("int")).withColumn("mb", F.col("mb").cast("int"))
-    return rows.join(known, "id").groupBy("r", "key", "hb", "mb").applyInPandas(_compare_block, "a long, b long")
+    rows = materialize(rows, "blocks")
+    return known.join(small_side(rows, rows.count()), "id").groupBy("r", "key", "hb", "mb").applyInPandas(_compare_block, "a long, b long")
 
 
 def link_classes(classes: DataFrame, known: DataFrame) -> DataFrame:
@@ -282,7 +283,13 @@ def link_classes(classes: DataFrame, known: DataFrame) -> DataFrame:
     if rest.isEmpty():
         return comp
     more = materialize(_block_links(rest, known).distinct(), "more")
-    return comp if more.isEmpty() else connected_components(links.union(more))
+    if more.isEmpty():
+        return comp
+    # only the components that are joined further take part again
+    top = materialize(connected_components(more), "tops")
+    alone = top.join(comp.select("node"), "node", "left_anti")
+    joined = comp.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    return joined.select("node", F.coalesce("top", "component").alias("component")).union(alone.select("node", "component"))
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
