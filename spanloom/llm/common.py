@@ -159,17 +159,26 @@ def occurrence(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_shingles(tokens: list[str], width: int = SHINGLE_WORDS) -> np.ndarray:
-    """Hashes of word shingles, each labelled with its occurrence number.
+def plain_shingles(tokens: list[str], width: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of word shingles in text order.
 
     A text of 1 to ``width - 1`` words is one shingle; an empty one has none.
     """
     if not tokens:
         return np.empty(0, np.uint64)
     h = word_hashes(tokens)
-    s = rolling(h, min(width, len(h)))
+    return rolling(h, min(width, len(h)))
+
+
+def labelled(s: np.ndarray) -> np.ndarray:
+    """Shingle hashes, each labelled with its occurrence number."""
     return mix(s + occurrence(s) * _ODD)
 
 
+def labelled_shingles(tokens: list[str], width: int = SHINGLE_WORDS) -> np.ndarray:
+    """``plain_shingles``, each labelled with its occurrence number."""
+    return labelled(plain_shingles(tokens, width))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

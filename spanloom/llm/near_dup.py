@@ -11,9 +11,13 @@ text has up to 12 shares these (at least 0.4 each, all missed: 5e-6).
 
 Verification aligns the two shingle sequences inside a band: the similarity is
 m / (a + b - m) for the m shingles that stand in the same order in both texts.
-Shingles are unique once labelled with their occurrence, so the best alignment
-is a longest increasing subsequence of positions, and a pair of similarity s
-cannot leave the band of max(a, b) - s / (1 + s) * (a + b) positions.
+A pair of similarity s cannot leave the band of
+max(a, b) - s / (1 + s) * (a + b) positions.  Labels serve the keys and the
+count of shared shingles only: an edit in an early copy of a repeated line
+shifts the labels of all later ones, so the best alignment is the longest
+common subsequence of the shingles without labels.  Where no shingle between
+the texts' equal ends repeats, that is a longest increasing subsequence of
+positions.
 
 Equal texts form classes first, and only class representatives are sketched
 against each other, so a group of copies costs one aggregation.  Within a
@@ -35,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from spanloom.llm.common import SIMILARITY, labelled_shingles, materialize, mix, signed, small_side, words
+from spanloom.llm.common import SIMILARITY, labelled, labelled_shingles, materialize, mix, occurrence, plain_shingles, signed, small_side, words
 from spanloom.llm.graph import connected_components
 
 SKETCHES = 40
@@ -96,8 +100,64 @@ def _key(shingles: np.ndarray, at: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles[at].tobytes())
 
 
+def _increasing(to: np.ndarray) -> int:
+    """Length of the longest increasing subsequence."""
+    if np.all(to[1:] > to[:-1]):
+        return len(to)
+    tails: list[int] = []
+    for v in to.tolist():
+        p = bisect_left(tails, v)
+        if p == len(tails):
+            tails.append(v)
+        else:
+            tails[p] = v
+    return len(tails)
+
+
+def _common(x: list[int], y: list[int], band: int) -> int:
+    """Length of the longest common subsequence inside the band, bit-parallel.
+
+    Bit p of ``v`` is zero where the row's length grows at position p of y.
+    ``v`` holds positions ``lo`` to ``hi`` only: those before the band do not
+    change any more, and those beyond it are ones still.
+    """
+    at: dict[int, list[int]] = {}
+    for p, s in enumerate(y):
+        at.setdefault(s, []).append(p)
+    held: dict[int, tuple[int, int, int]] = {}
+    v, lo, hi, done = 0, 0, 0, 0
+    for i, s in enumerate(x):
+        where = at.get(s)
+        if where is None:
+            continue
+        top, low = min(len(y), i + band + 1), min(len(y), max(0, i - band))
+        if top > hi:
+            v |= ((1 << (top - hi)) - 1) << (hi - lo)
+            hi = top
+        if low > lo:
+            done += low - lo - (v & ((1 << (low - lo)) - 1)).bit_count()
+            v >>= low - lo
+            lo = low
+        if len(where) <= 8:
+            met = sum(1 << (p - lo) for p in where if lo <= p < hi)
+        else:
+            # the positions of a frequent shingle move along with the band
+            met, old, k = held.get(s, (0, lo, bisect_left(where, lo)))
+            met >>= lo - old
+            while k < len(where) and where[k] < hi:
+                if where[k] >= lo:
+                    met |= 1 << (where[k] - lo)
+                k += 1
+            held[s] = (met, lo, k)
+        u = v & met
+        v = (v + u) | (v - u)
+        if v.bit_length() > hi - lo:
+            v ^= 1 << (hi - lo)
+    return done + hi - lo - v.bit_count()
+
+
 def aligned_similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
-    """Similarity of two labelled shingle sequences; 0.0 where under ``least``.
+    """Similarity of two shingle sequences; 0.0 where under ``least``.
 
     Two empty sequences are equal (1.0).
     """
@@ -107,28 +167,28 @@ def aligned_similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY)
     need = ceil(least * (a + b) / (1 + least) - 1e-9)
     if min(a, b) < need:
         return 0.0
-    order = np.argsort(y)
-    ranked = y[order]
-    at = np.minimum(np.searchsorted(ranked, x), b - 1)
-    same = np.flatnonzero(ranked[at] == x)
-    if len(same) < need:
-        return 0.0
-    to = order[at[same]]
     band = max(a, b) - need
-    to = to[np.abs(to - same) <= band]
-    if len(to) < need:
-        return 0.0
-    tails: list[int] = []
-    if np.all(to[1:] > to[:-1]):
-        m = len(to)
-    else:
-        for v in to.tolist():
-            p = bisect_left(tails, v)
-            if p == len(tails):
-                tails.append(v)
-            else:
-                tails[p] = v
-        m = len(tails)
+    # some best alignment keeps the equal ends
+    n = min(a, b)
+    unlike = np.flatnonzero(x[:n] != y[:n])
+    head = int(unlike[0]) if len(unlike) else n
+    unlike = np.flatnonzero(x[a - n + head :][::-1] != y[b - n + head :][::-1])
+    tail = int(unlike[0]) if len(unlike) else n - head
+    x, y = x[head : a - tail], y[head : b - tail]
+    m = head + tail
+    if len(x) and len(y):
+        lx, ly = labelled(x), labelled(y)
+        order = np.argsort(ly)
+        ranked = ly[order]
+        at = np.minimum(np.searchsorted(ranked, lx), len(ly) - 1)
+        same = np.flatnonzero(ranked[at] == lx)
+        if m + len(same) < need:
+            return 0.0
+        to = order[at[same]]
+        near = _increasing(to[np.abs(to - same) <= band])
+        if near < len(same) and (occurrence(x).any() or occurrence(y).any()):
+            near = _common(x.tolist(), y.tolist(), band)
+        m += near
     s = m / (a + b - m)
     return s if s >= least - 1e-12 else 0.0
 
@@ -159,7 +219,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if t not in held:
             if len(held) > 64:
                 held.clear()
-            held[t] = labelled_shingles(words(t))
+            held[t] = plain_shingles(words(t))
         return held[t]
 
     for batch in batches:
@@ -233,7 +293,8 @@ def _shared_counts(own: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
 def _compare_block(p: pd.DataFrame) -> pd.DataFrame:
     """Edges of a forest over the components that similar texts of one pair of
     blocks join."""
-    own = [labelled_shingles(words(t)) for t in p["text"]]
+    plain = [plain_shingles(words(t)) for t in p["text"]]
+    own = [labelled(s) for s in plain]
     comp, size = p["component"].tolist(), np.array([len(o) for o in own])
     x, y = np.flatnonzero(p["home"]), np.flatnonzero(p["member"])
     edges: list[tuple[int, int]] = []
@@ -248,7 +309,7 @@ def _compare_block(p: pd.DataFrame) -> pd.DataFrame:
                 a = root[a]
             while root[b] != b:
                 b = root[b]
-            if a != b and aligned_similarity(own[i], own[j]):
+            if a != b and aligned_similarity(plain[i], plain[j]):
                 root[max(a, b)] = min(a, b)
                 edges.append((comp[i], comp[j]))
     return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")

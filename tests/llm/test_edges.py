@@ -167,6 +167,46 @@ def test_unlike_texts_in_one_bucket_against_brute_force(spark, monkeypatch, cent
     assert got == want
 
 
+def _common_subsequence(x, y):
+    row = [0] * (len(y) + 1)
+    for s in x:
+        last = list(row)
+        for k, v in enumerate(y):
+            row[k + 1] = last[k] + 1 if s == v else max(last[k + 1], row[k])
+    return row[-1]
+
+
+def test_alignment_of_repeated_shingles_against_a_table():
+    rng, kept = random.Random(31), 0
+    for i in range(300):
+        x = [rng.randrange(1 + i % 9) for _ in range(rng.randint(1, 70))]
+        y = list(x)
+        for _ in range(rng.randint(0, 9)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randint(0, 1)] = [rng.randrange(1 + i % 9) for _ in range(rng.randint(0, 2))]
+        m = _common_subsequence(x, y)
+        want = m / (len(x) + len(y) - m)
+        kept += want >= 0.8
+        got = near_dup.aligned_similarity(np.array(x, np.uint64), np.array(y, np.uint64))
+        assert got == (pytest.approx(want) if want >= 0.8 - 1e-9 else 0.0), (x, y)
+    assert 50 < kept < 280
+
+
+@pytest.mark.parametrize("centers", [8, 0])
+def test_edit_in_the_first_of_repeated_lines(spark, monkeypatch, centers):
+    """The labels of all later copies of the line shift by one."""
+    monkeypatch.setattr(near_dup, "CENTERS", centers)
+    line, rows = prose(90, 10).split(), []
+    for i in range(6):
+        w = [x for k in range(20) for x in line + prose(3000 + 20 * i + k, 10).split()]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:4] + ["edit"] + w[5:]))]
+    x, y = (common.plain_shingles(t.split()) for _, t in rows[:2])
+    assert near_dup.aligned_similarity(common.labelled(x), common.labelled(y)) == 0.0
+    assert near_dup.aligned_similarity(x, y) == pytest.approx(391 / 401)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df).collect()} == {i: i - i % 2 for i in range(12)}
+
+
 def test_large_group_of_near_copies(spark):
     base = prose(8, 200).split()
     rows = []
