@@ -124,10 +124,11 @@ def _apply(window: int, digest: bool):
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
-    """Ids of the documents whose whole text an earlier document has."""
-    hashed = docs.select("id", F.md5(F.col("text").cast("binary")).alias("m")).where("m IS NOT NULL")
+    """(id, m) of the texts that an earlier document has whole; ``docs`` has
+    (id, m) with m the digest of a row's text."""
+    hashed = docs.select("id", "m").where("m IS NOT NULL")
     first = hashed.groupBy("m").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    return hashed.join(first, "m").where("id > first").select("id").distinct()
+    return hashed.join(first, "m").where("id > first").select("id", "m").distinct()
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -155,16 +156,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
     extra columns are ignored; an empty table gives an empty result.
 
     Copies of an earlier text lose every window, so only first texts are
-    hashed: no window of a copy is first anywhere.
+    hashed: no window of a copy is first anywhere.  Copies are known by id and
+    digest, so that other rows of their id are hashed and judged as any.
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.col("text").cast("string").alias("text"))
+    own = own.withColumn("m", F.md5(F.col("text").cast("binary")))
     copies = materialize(exact_copies(own), "copies")
     n = copies.count()
-    later = later_windows(own.join(small_side(copies, n), "id", "left_anti"), window)
-    known = later.select("id", "later", F.lit(False).alias("copy")).union(copies.select("id", F.lit(None).cast("array<bigint>"), F.lit(True)))
-    # rows of one doc_id with different texts may be a copy and none
-    known = known.groupBy("id").agg(F.max("later").alias("later"), F.max("copy").alias("copy")).withColumn("copy", F.col("copy") & F.col("later").isNull())
-    joined = own.join(known, "id", "left")
+    later = later_windows(own.join(small_side(copies, n), ["id", "m"], "left_anti").select("id", "text"), window)
+    marked = own.join(small_side(copies.withColumn("copy", F.lit(True)), n), ["id", "m"], "left")
+    joined = marked.join(later, "id", "left")
     kind = "kept_sha256" if digest else "kept_text"
     return joined.select(F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"), "text", "later", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(
         _apply(window, digest), f"doc_id long, n_words long, n_removed long, {kind} string"

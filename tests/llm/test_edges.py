@@ -246,6 +246,16 @@ def test_removal_edges(spark, odd):
     assert substring_dedup.remove_repeats(odd.where("false")).count() == 0
 
 
+def test_rows_of_an_id_beside_a_copy(spark):
+    """Only the row that is a copy goes; other rows of its id stay and hide
+    nothing from later documents."""
+    a, b, c = prose(81, 40), prose(82, 40), prose(83, 40)
+    rows = [(1, a), (5, a), (5, b), (5, None), (7, b + " end"), (None, a), (None, c)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, 40, a), (5, 40, ""), (5, 40, b), (5, 0, ""), (7, 41, "end"), (None, 40, ""), (None, 40, c)]
+    assert sorted(((r["doc_id"] or 0, r["n_words"], r["kept_text"]) for r in got)) == sorted((i or 0, n, k) for i, n, k in want)
+
+
 def test_contamination(spark, odd):
     items = spark.createDataFrame([(1, prose(2, 60), "q"), (2, prose(99, 30), "q"), (3, None, "q"), (4, "", "q"), (5, "Id, AT", "q"), (6, prose(1, 20_000)[30_000:30_400], "q"), (6, prose(1, 20_000)[30_000:30_400], "q")], "item_id long, text string, doc_id string")
     got = {(r["doc_id"], r["item_id"]): r["containment"] for r in decontamination.contaminated(odd, items).collect()}
