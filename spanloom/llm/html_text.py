@@ -2,7 +2,10 @@
 
 A tolerant tokenizer builds a DOM (implied end tags, unclosed tags, raw script
 and style).  Subtrees that are no article by their tag, role or names (menus,
-headers, footers, asides, forms, adverts, notices, comments) are cut.  For
+headers, footers, asides, forms, adverts, notices, comments) are cut.  A name
+is a whole part of class or id that says what the element is (``main-nav``, not
+``has-sidebar`` or ``related-work``); headings are never cut by name, and
+forms and named elements stay if they wrap the article (``_cut_named``).  For
 every node left, the density is its characters per tag, adjusted by the share
 of them that are links:
 
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 # Names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
-_NO_TEXT = frozenset("head nav header footer aside form button select option input label fieldset legend dialog menu object canvas video audio".split()) | _RAW
+_NO_TEXT = frozenset("head nav header footer aside button select option input label fieldset legend dialog menu object canvas video audio".split()) | _RAW
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -46,6 +49,14 @@ _SCOPE = frozenset("html body table td th ul ol dl div article section main butt
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion related replies reply share sharing sidebar sidebars social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+# what others say of a page or of an article's discussion, however long
+_TALK = frozenset("comment comments commentlist disqus replies reply".split())
+# a part of such a name tells the kind of its element only alone
+_ALONE = frozenset("widget widgets".split())
+# names that end so are what stands before: comment-list, nav-links
+_HOLDERS = frozenset("area bar box button buttons icon icons item items link links list post posts".split())
+# names that begin so tell the state of a page: has-sidebar, no-comments
+_STATES = frozenset("has is no not with without".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 _TOKEN = re.compile(
@@ -56,30 +67,48 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TELLING = re.compile("class|id|role|hidden", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
+_MAYBE, _SAID = 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "c", "t", "l", "k", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "cut", "c", "t", "l", "k", "density", "sum", "named")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, named: int = 0):
+        self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
         self.parts: list[Node | str] = []
 
 
-def _is_cut(tag: str, attrs: str) -> bool:
+def _kind(value: str) -> int:
+    """Whether a class or id names an element that is no article (``_MAYBE``),
+    or what others say of one (``_SAID``)."""
+    found = 0
+    for token in value.split():
+        parts = _PART.findall(token)
+        if len(parts) > 1 and parts[0] in _STATES:
+            continue
+        if len(parts) > 1 and parts[-1] in _HOLDERS:
+            parts.pop()
+        if parts and parts[-1] in _NAMES and (parts[-1] not in _ALONE or len(parts) == 1):
+            found = max(found, _SAID if parts[-1] in _TALK else _MAYBE)
+    return found
+
+
+def _is_cut(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether an element goes by tag, role or state, and its kind by name."""
     if tag in _NO_TEXT:
-        return True
+        return True, 0
     if not attrs or tag in ("html", "body", "article", "main") or not _TELLING.search(attrs):
-        return False
+        return False, _MAYBE * (tag == "form")
+    named = _MAYBE * (tag == "form")
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, 0
         if name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id") and not _NAMES.isdisjoint(_PART.findall(value)):
-            return True
-    return False
+            return True, 0
+        if name in ("class", "id") and tag not in _HEADINGS:
+            named = max(named, _kind(value))
+    return False, named
 
 
 def parse(html: str, by_name: bool = True) -> Node:
@@ -129,7 +158,7 @@ def parse(html: str, by_name: bool = True) -> Node:
                 up = up.parent
             if last is not None:
                 here = last.parent
-        node = Node(tag, here, _is_cut(tag, m[3] if by_name else ""))
+        node = Node(tag, here, *_is_cut(tag, m[3] if by_name else ""))
         here.parts.append(node)
         if tag in _VOID:
             continue
@@ -185,6 +214,43 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _best(nodes: list[Node]) -> Node:
+    return max(nodes, key=lambda n: (n.sum, n.density))
+
+
+def _above(nodes: list[Node]) -> set[Node]:
+    """The nodes and all that contain them."""
+    out: set[Node] = set()
+    for n in nodes:
+        up: Node | None = n
+        while up is not None and up not in out:
+            out.add(up)
+            up = up.parent
+    return out
+
+
+def _cut_named(root: Node) -> None:
+    """Cut forms and named elements, but none that wraps the article: one with
+    a main element, or with the node of greatest density sum and either the
+    page's first article or h1 or more than half of its characters.  Comments
+    may be longer than their article and be articles themselves, so they stay
+    only with the first h1, or with the first article of a page without h1."""
+    nodes = _order(root)
+    named = [n for n in nodes if n.named]
+    if not named:
+        return
+    first = lambda tag, nodes: [n for n in nodes if n.tag == tag][:1]
+    mains = _above([n for n in nodes if n.tag == "main"])
+    told = _above(first("h1", nodes) or first("article", nodes))
+    for n in named:
+        n.cut = n.named == _SAID and n not in mains and n not in told
+    nodes = measure(root)
+    firsts, around = _above(first("h1", nodes) + first("article", nodes)), _above([_best(nodes)])
+    for n in named:
+        if n.named == _MAYBE and n not in mains and not (n in around and (n in firsts or 2 * n.c > root.c)):
+            n.cut = True
+
+
 def _emit(node: Node, blocks: list[list[str]]) -> None:
     todo: list[Node | str | None] = [node]
     while todo:
@@ -210,6 +276,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _cut_named(root)
     nodes = measure(root)
     if not root.c:
         # a wrapper of all content may bear such a name
@@ -217,7 +284,7 @@ def main_text(html: str | None) -> str:
         nodes = measure(root)
     if not root.c:
         return ""
-    best = max(nodes, key=lambda n: (n.sum, n.density))
+    best = _best(nodes)
     if not best.sum:
         best = root
     path = [best]

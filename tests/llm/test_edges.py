@@ -370,6 +370,29 @@ def test_extraction(html, text):
     assert html_text.main_text(html) == text
 
 
+COMMENTS = "<div id=comments><ol>" + f"<li><article class='comment-body'><p>{prose(75, 90)}</p></article></li>" * 8 + "</ol></div>"
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<body><div class='content has-sidebar'><h1>Title</h1>{BODY}</div><div>(c) 2024</div></body>", f"Title {TEXT}"),
+        (f"<body><div class='right-sidebar'><div>{BODY}</div></div><div>(c) 2024</div></body>", TEXT),
+        (f"<body><div id=main class=no-comments>{BODY}</div><p>(c) 2024</p></body>", TEXT),
+        (f"<body><div>{''.join(f'<div class=elementor-widget-container>{p}</div>' for p in BODY.split('|'))}</div></body>", TEXT),
+        (f"<article><h2 id='related-work'>Related work</h2>{BODY}<h2 id='social'>Social</h2><p>end</p></article>", f"Related work {TEXT} Social end"),
+        (f"<article>{BODY}<section id='social-policy'><p>{prose(76, 30)}</p></section></article>", f"{TEXT} {prose(76, 30)}"),
+        (f"<body><form id=aspnetForm action=x><input type=hidden><div id=content>{BODY}</div></form><div>(c) 2024</div></body>", TEXT),
+        (f"<body><form><div class='top menu'><a>m</a></div><main>{BODY}</main></form></body>", TEXT),
+        (f"<body><div class='has-sidebar'><article>{BODY}</article>{COMMENTS}</div></body>", TEXT),
+        (f"<body><div class='right-sidebar'><h1>T</h1>{BODY}</div>{COMMENTS}<form><p>{prose(71, 50)}</p></form></body>", f"T {TEXT}"),
+        (f"<body><div class='nav-links'><p>{prose(77, 30)}</p></div><div>{BODY}</div><div class='site-footer'><p>{prose(78, 30)}</p></div></body>", TEXT),
+    ],
+)
+def test_wrappers_of_the_article_stay(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_extraction_of_a_deep_page():
     assert html_text.main_text("<div>" * 20_000 + "deep words" + "</div>" * 20_000) == "deep words"
 
