@@ -51,7 +51,10 @@ def intervals(entries: DataFrame) -> DataFrame:
     action, at): action ``add``, ``allow`` or ``remove``.  Entries without a
     key, an action or a time are ignored; at equal times ``remove`` yields to
     ``add`` and both to ``allow``; an open interval has a null end."""
-    e = entries.select(F.lower(F.rtrim(F.col("key"), F.lit("./"))).alias("key"), F.coalesce("list", F.lit("")).alias("list"), F.lower("action").alias("action"), F.col("at").cast("timestamp").alias("at"))
+    host = F.substring_index("key", "/", 1)
+    # paths keep their case, as those of captures do
+    key = F.concat(F.rtrim(F.lower(host), F.lit(".")), F.rtrim(F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"), F.lit("/")))
+    e = entries.select(key.alias("key"), F.coalesce("list", F.lit("")).alias("list"), F.lower("action").alias("action"), F.col("at").cast("timestamp").alias("at"))
     strength = F.expr("array_position(array('remove', 'add', 'allow'), action)")
     e = e.where(F.col("key").isNotNull() & (F.col("key") != "") & F.col("action").isin("add", "allow", "remove") & F.col("at").isNotNull())
     e = e.groupBy("key", "list", "at").agg(F.max_by("action", strength).alias("action"))

@@ -347,6 +347,13 @@ def test_url_filter(spark):
     assert url_filter.evaluate(caps.where("false"), entries).count() == 0
 
 
+def test_url_filter_keeps_the_case_of_paths(spark):
+    entries = spark.createDataFrame([("Example.COM./Docs/", "l", "add", "2024-01-01")], "key string, list string, action string, at string")
+    asks = [(1, "http://example.com/Docs/a", "2024-02-01"), (2, "http://example.com/docs/a", "2024-02-01")]
+    got = url_filter.evaluate(spark.createDataFrame(asks, "page_id long, url string, fetched_at string"), entries)
+    assert {r["page_id"]: (r["allowed"], r["key"]) for r in got.collect()} == {1: (False, "example.com/Docs"), 2: (True, None)}
+
+
 BODY = "<p>" + "</p><p>".join(prose(40 + i, 40) for i in range(4)) + "</p>"
 TEXT = " ".join(prose(40 + i, 40) for i in range(4))
 
