@@ -1,95 +1,50 @@
-"""Helpers shared by the training-data operators: scratch tables, word
-splitting, stable hashing and shingles.
+"""Helpers shared by the training-data operators: samples, word splitting,
+stable hashing and shingles.
 
 A word is a maximal run of characters other than space and U+0009..U+000D.
 """
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from spanloom.operators.scratch import materialize, release, shared_dir, small_side  # noqa: F401
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same class for Java's regular expressions.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
-#: Rows of an Arrow batch while a table is written: long texts by the ten
-#: thousand would fill a Python worker.
-BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
+_RANGE = 1 << 53
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-# --- tables and scratch space -------------------------------------------------
+# --- tables and samples -------------------------------------------------------
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+def least_hashed(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """At most ``n`` rows of ``df``: those of the least hashes of the columns
+    ``by``; rows that agree in all of these count once.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where it is unset
-    and the master is local does a temporary folder take its place.
+    A first cut at four times the expected hash keeps the search for the n-th
+    hash small; only that one number reaches the driver.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage like ``checkpoint()`` but columnar and compressed.  The
-    files survive lost executors and go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanloom-{label}-{uuid.uuid4().hex}"
-    held = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(held)) if int(held) > 0 else BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, held)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    atexit.register(release, out)
-    # the driver drops its references to the shuffles behind df, and so their files go
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
-    path = df.__dict__.pop("_scratch", None)
-    try:
-        if path:
-            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # at exit the JVM may be gone already
-        pass
-
-
-def small_side(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast if its counted ``rows`` stay under ``most``."""
-    return F.broadcast(df) if rows <= most else df
+    own = df.withColumn("_h", F.pmod(F.xxhash64(*by, F.lit(13)), F.lit(_RANGE)))
+    total = own.count()
+    if total > n:
+        near = own.where(F.col("_h") < min(_RANGE, _RANGE * 4 * n // total + 1)).select("_h").distinct()
+        last = near.orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
+        own = own.where(F.col("_h") <= F.lit(last).cast("long"))
+    return own.dropDuplicates(["_h"]).drop("_h")
 
 
 # --- words and hashes -----------------------------------------------------------

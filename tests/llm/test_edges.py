@@ -53,9 +53,9 @@ def test_components_against_union_find(spark):
 VECTORS = "vec_id long, embedding array<float>, label int, id string, cell int"
 
 
-@pytest.mark.parametrize("cell,block", [(8192, 8192), (60, 40)])
-def test_embeddings_against_all_pairs(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(embedding_dedup, "CELL", cell)
+@pytest.mark.parametrize("block,chunk", [(4096, 4096), (40, 50)])
+def test_embeddings_against_all_pairs(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(embedding_dedup, "CHUNK", chunk)
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     rng = np.random.default_rng(4)
     rows = []
@@ -82,6 +82,34 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, cell, block):
     assert embedding_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_pivots_prune_and_lose_nothing(spark):
+    """Clusters with copies: several cells to a label, far fewer replicas than
+    cells, and the result of all pairs."""
+    rng = np.random.default_rng(8)
+    heads = rng.normal(size=(12, 16))
+    rows = [(i, (heads[i % 12] + rng.normal(size=16) * 0.05 * (i % 5)).tolist(), i % 2) for i in range(900)]
+    rows += [(900 + i, rows[3][1], 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    keyed = embedding_dedup.keyed(df, "label")
+    cells = embedding_dedup.assigned(keyed.select("id", "grp", "dim", F.lit(1).cast("long").alias("w"), "e")).toPandas()
+    assert cells.groupby("grp")["home"].nunique().min() >= 4
+    assert all(h in c for h, c in zip(cells["home"], cells["cells"]))
+    assert cells["cells"].map(len).mean() < 0.5 * cells["home"].nunique()
+    x = np.float32([r[1] for r in rows]).astype(float)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    near = (x @ x.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None, :])
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(rows))] == near.sum(axis=1).tolist()
+    least = np.arange(len(rows))
+    while True:
+        new = np.minimum(least, np.where(near, least[None, :], len(rows)).min(axis=1))
+        if (new == least).all():
+            break
+        least = new
+    assert [got[i]["component_id"] for i in range(len(rows))] == least.tolist()
+
+
 def test_aligned_similarity():
     x = common.labelled_shingles(prose(6, 100).split())
     assert near_dup.aligned_similarity(x, x) == 1.0
@@ -105,7 +133,7 @@ def test_near_duplicates(spark, odd):
     got = {r["doc_id"]: r for r in near_dup.near_duplicates(odd).collect()}
     assert len(got) == 11
     assert [got[i]["component_id"] for i in (1, 2, 3, 4, 5, 6, 8, 9)] == [1, 1, 3, 3, 5, 5, 8, 9]
-    assert got[None]["kept"]
+    assert got[None]["kept"] and got[None]["component_id"] is None
     kept = near_dup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 5, 7, 8, 9, 10]
