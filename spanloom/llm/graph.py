@@ -7,25 +7,36 @@ from pyspark.sql import DataFrame, functions as F
 from spanloom.llm.common import materialize, release
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): the least neighbour of each node.  Written, or else it shares
+    the exchange of the join with it, which AQE then leaves whole."""
+    return materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = _least(both)
+    star = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+    out = materialize(star, "edges")
+    release(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(edges)
     rest = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.union(least.select("a", F.col("m").alias("b"))).distinct()
+    out = materialize(rest.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    release(least)
+    return out
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """Rows (node, component) for all nodes of ``edges(a long, b long)``.
 
     The component is its least node.  Every round is two aggregations with
-    map-side minima and two equi-joins; a hub's rows are split by AQE.  Self
-    loops and repeated edges are harmless, null ends are dropped, an empty
-    table gives an empty result.
+    map-side minima, written out, and two equi-joins with them, so that AQE can
+    split a hub's rows.  Self loops and repeated edges are harmless, null ends
+    are dropped, an empty table gives an empty result.
     """
     spark = edges.sparkSession
     now = materialize(
@@ -36,8 +47,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     if not before[0]:
         return spark.createDataFrame([], "node long, component long")
     for _ in range(most_rounds):
-        old, now = now, materialize(_small_star(_large_star(now)), "edges")
-        release(old)
+        for star in (_large_star, _small_star):
+            old, now = now, star(now)
+            release(old)
         after = mark(now)
         if after == before:
             break

@@ -37,9 +37,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanloom.llm.common import SIMILARITY, labelled, labelled_shingles, materialize, mix, occurrence, plain_shingles, signed, small_side, words
+from spanloom.llm.common import SIMILARITY, labelled, labelled_shingles, materialize, mix, occurrence, plain_shingles, release, signed, small_side, words
 from spanloom.llm.graph import connected_components
 
 SKETCHES = 40
@@ -50,6 +50,8 @@ SHORT_PICKS = 3
 CENTERS = 8
 BLOCK = 512
 SALTS = 32
+#: Ids from here on stand for rows without one.
+NO_ID = 1 << 62
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _AT_ONCE = 1 << 18
@@ -195,20 +197,12 @@ def aligned_similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY)
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, hi, lo, size, keys = [], [], [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            t = text.as_py() or ""
-            digest = xxhash.xxh3_128_digest(t)
-            hi.append(int.from_bytes(digest[:8], "big", signed=True))
-            lo.append(int.from_bytes(digest[8:], "big", signed=True))
-            s = labelled_shingles(words(t))
-            ids.append(i)
+        size, keys = [], []
+        for text in batch.column(3):
+            s = labelled_shingles(words(text.as_py()))
             size.append(len(s))
             keys.append(order_minhash(s).tolist())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["id", "hi", "lo", "size", "keys"],
-        )
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "hi", "lo", "size", "keys"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +231,11 @@ def _buckets(classes: DataFrame) -> DataFrame:
     """(r, key, id, size, n, degree): the members of all keys that several
     classes share, n to a bucket; degree sums n over a member's buckets."""
     rows = classes.where("size > 0").select("id", "size", F.posexplode("keys").alias("r", "key"))
-    shared = rows.groupBy("r", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # written, as a count and a join in one stage share an exchange, and AQE then
+    # does not split a hot key
+    shared = materialize(rows.groupBy("r", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = materialize(rows.join(shared, ["r", "key"]), "buckets")
+    release(shared)
     return met.join(met.groupBy("id").agg(F.sum("n").alias("degree")), "id")
 
 
@@ -269,7 +266,8 @@ def _open(members: DataFrame, centers: DataFrame, comp: DataFrame) -> DataFrame:
     left = left.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = left.groupBy("r", "key", "component").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("r", "key").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    return left.join(mixed.select("r", "key", "main"), ["r", "key"]).withColumn("inner", F.col("component") == F.col("main")).drop("main")
+    mixed = materialize(mixed.select("r", "key", "main"), "mixed")
+    return left.join(small_side(mixed, mixed.count()), ["r", "key"]).withColumn("inner", F.col("component") == F.col("main")).drop("main")
 
 
 def _shared_counts(own: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -319,7 +317,8 @@ def _block_links(members: DataFrame, known: DataFrame) -> DataFrame:
     """Links (a, b) between components of open members of a bucket: those outside its largest component against all, in pairs of blocks of
     ``BLOCK`` texts, each one bounded task that returns a forest, never pairs."""
     sizes = members.groupBy("r", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nm"), F.ceil(F.count(F.when(~F.col("inner"), 1)) / BLOCK).cast("int").alias("nh"))
-    own = members.join(sizes, ["r", "key"]).withColumn("h", F.pmod(F.xxhash64("id", F.lit(17)), F.col("nh"))).withColumn("m", F.pmod(F.xxhash64("id", F.lit(19)), F.col("nm")))
+    sizes = materialize(sizes, "sizes")
+    own = members.join(small_side(sizes, sizes.count()), ["r", "key"]).withColumn("h", F.pmod(F.xxhash64("id", F.lit(17)), F.col("nh"))).withColumn("m", F.pmod(F.xxhash64("id", F.lit(19)), F.col("nm")))
     as_member = own.withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("nh") - 1))).select(
         "r", "key", "hb", F.col("m").alias("mb"), "id", "component", (~F.col("inner") & (F.col("h") == F.col("hb"))).alias("home"), F.lit(True).alias("member")
     )
@@ -362,40 +361,64 @@ def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a long, b long, similarity double")
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _row_key() -> tuple[Column, Column, Column]:
+    hi, lo = F.xxhash64(F.lit(1), _text()), F.xxhash64(F.lit(2), _text())
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(lo, F.lit(NO_ID - 1))), hi, lo
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(id, hi, lo, text) of all rows: the doc_id, and 128 bits of hash of the
+    text (null counts as empty).  A row without a doc_id gets one from its text,
+    ``NO_ID`` or more."""
+    ident, hi, lo = _row_key()
+    return docs.select(ident.alias("id"), hi.alias("hi"), lo.alias("lo"), _text().alias("text"))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(id, hi, lo, class_id, component) of the distinct rows of ``docs``."""
+    known = keyed_rows(docs)
+    each = materialize(known.mapInArrow(_sketch, "id long, hi long, lo long, size long, keys array<long>"), "sketches")
+    firsts = each.groupBy("hi", "lo").agg(F.min(F.struct("id", "size", "keys")).alias("f")).select("hi", "lo", "f.*")
+    classes = materialize(firsts, "classes")
+    comp = link_classes(classes, known.select("id", "text"))
+    member = each.select("id", "hi", "lo").distinct().join(classes.select("hi", "lo", F.col("id").alias("class_id")), ["hi", "lo"])
+    return member.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").select("id", "hi", "lo", "class_id", F.coalesce("component", "class_id").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row (doc_id, class_id, component_id, kept) per document.
 
     ``class_id`` is the least doc_id with an equal text (null counts as
     empty), ``component_id`` the least doc_id that links reach.  Texts without words
     are equal to each other only if their characters are.  Rows without a
-    doc_id come back with nulls and are kept.  Repeated rows of one doc_id
-    with different texts are linked through that id.  Extra columns are
-    ignored.  An empty table gives an empty result.
+    doc_id are compared as all others; equal ones count as one, and come back
+    with a null doc_id (and null ids of a group in which no row has one).
+    Repeated rows of one doc_id with different texts are linked through that
+    id.  Extra columns are ignored.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    known = texts.where("id IS NOT NULL")
-    sketched = known.mapInArrow(_sketch, "id long, hi long, lo long, size long, keys array<long>")
-    each = materialize(sketched, "sketches")
-    firsts = each.groupBy("hi", "lo").agg(F.min(F.struct("id", "size", "keys")).alias("f")).select("hi", "lo", "f.*")
-    classes = materialize(firsts, "classes")
-    comp = link_classes(classes, known)
-    member = each.select("id", "hi", "lo").distinct().join(classes.select("hi", "lo", F.col("id").alias("class_id")), ["hi", "lo"]).select("id", "class_id")
-    member = member.groupBy("id").agg(F.min("class_id").alias("class_id"))
-    out = (
-        member.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select(F.col("id").alias("doc_id"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    )
-    n = F.lit(None).cast("long")
-    return out.unionByName(texts.where("id IS NULL").select(n.alias("doc_id"), n.alias("class_id"), n.alias("component_id"), F.lit(True).alias("kept")))
+    rows = _grouped(docs).groupBy("id").agg(F.min("class_id").alias("class_id"), F.min("component").alias("component"))
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return rows.select(real("id").alias("doc_id"), real("class_id").alias("class_id"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the row of the least doc_id.
+    """``docs`` with one document of each group, the row of the least doc_id.
 
-    Rows without a doc_id stay; rows that repeat a kept doc_id collapse to one.
+    Rows without a doc_id come after all others of their group.  Of rows that
+    repeat a kept doc_id the one stays whose text has the least hash; equal
+    ones collapse, so reruns agree.
     """
-    keep = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_keep")).distinct()
-    chosen = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
-    return chosen.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    rows = _grouped(docs).groupBy("id").agg(F.min("component").alias("component"), F.min(F.struct("hi", "lo")).alias("f"))
+    keep = materialize(rows.where("id = component").select(F.col("id").alias("_k"), F.col("f.hi").alias("_hi"), F.col("f.lo").alias("_lo")), "kept")
+    marked = docs.withColumns(dict(zip(("_k", "_hi", "_lo"), _row_key())))
+    chosen = marked.join(keep, ["_k", "_hi", "_lo"], "left_semi")
+    again = marked.groupBy("_k", "_hi", "_lo").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = materialize(again, "again")
+    n = again.count()
+    once = chosen.join(small_side(again, n), ["_k", "_hi", "_lo"], "left_anti")
+    twice = chosen.join(small_side(again, n), ["_k", "_hi", "_lo"], "left_semi").dropDuplicates(["_k", "_hi", "_lo"])
+    return once.unionByName(twice).drop("_k", "_hi", "_lo")
