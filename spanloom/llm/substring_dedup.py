@@ -7,7 +7,8 @@ counted in bundles: each window is represented by its anchor, the least of its
 window whose anchor occurs once in the corpus is proven unique; one row per
 anchor is a seventh of the windows.  The windows of repeated anchors are then
 counted by their own 96-bit hashes, and those that start earlier elsewhere
-become removal intervals that merge per document.
+become removal intervals that merge per document; inside one document 64 of
+these bits tell its windows apart.
 
 Rows of one doc_id are one document: windows that they share are not removed
 for that.  Null doc_ids sort last and count as one document.
@@ -135,14 +136,19 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows (id, later array<long>): the windows of each document that start
     in an earlier one.  ``docs`` has (id, text)."""
     anchors = materialize(docs.mapInArrow(_anchors(window), "h long, id long, at int"), "anchors")
-    repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, as a count and a join in one stage share an exchange, and AQE then
+    # does not split a hot anchor
+    repeated = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     flags = materialize(anchors.join(repeated, "h", "left_semi").groupBy("id").agg(F.collect_list("at").alias("flags")), "flags")
     release(anchors)
+    release(repeated)
     met = docs.join(flags, "id").select("id", "text", "flags")
     found = materialize(met.mapInArrow(_candidates(window), "h1 long, h2 int, id long"), "windows")
     first = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    first = materialize(first, "first")
     later = materialize(found.join(first, ["h1", "h2"]).where("id > first").groupBy("id").agg(F.collect_set("h1").alias("later")), "later")
     release(found)
+    release(first)
     return later
 
 
