@@ -8,15 +8,16 @@ logistic function of the summed weights, raw and normalised by length.
 
 The lexicon, its weights, the exception phrases and the logistic layer are
 learned from labelled rows: terms are counted by documents on the executors
-over a sample of at most ``max_rows`` rows, chosen by hash.  Only the selected
-terms (at most ``max_terms``) and a few numbers per sampled row reach the
-driver.  Scoring covers every whole text.
+over a sample of at most ``max_rows`` rows, those of least hash.  Only the
+terms that separate, which that sample bounds, and a few numbers per sampled
+row reach the driver.  Scoring covers every whole text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log
 
@@ -25,12 +26,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.llm.common import materialize
+from spanloom.llm.common import least_hashed, materialize, small_side
 
 MAX_ROWS = 20_000
-MAX_TERMS = 4_000
 _LENGTHS = range(3, 13)
-_MANY = 1_000_000
 
 # Letters that look like Latin ones, and signs that replace them.
 _LOOKALIKES = {
@@ -153,19 +152,23 @@ def select_terms(counts: list[tuple[str, int, int]], n1: int, n0: int) -> dict[s
     return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int = MAX_ROWS) -> Lexicon:
     """Learn a lexicon from the rows of ``labels`` (doc_id, target 0/1).
 
-    Null labels and rows without a document are left out.  Without both kinds
-    of labels the lexicon is empty and the score is the rate of positives.
+    Null labels and rows without a document or a doc_id are left out; a row
+    that has both labels counts as 1; of texts that repeat a doc_id the least
+    counts.  Null texts count as empty, long ones are read whole.  Without both
+    kinds of labels, as in empty tables, the lexicon is empty and the score near
+    0 or 1, or 0.5 without any label.  Extra columns are ignored.
     """
     rows = labels.where(F.col(target).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
-    total = rows.count()
-    if not total:
+    rows = materialize(least_hashed(rows, max_rows, "doc_id"), "labelled")
+    n = rows.count()
+    if not n:
         return Lexicon({}, set(), [0.0, 0.0, 0.0, 0.0])
-    share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(_MANY)) < int(_MANY * min(1.0, max_rows / total))
     # bounded by max_rows; read five times
-    sample = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(rows.where(share), "doc_id"), "sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sample = materialize(texts.join(small_side(rows, n), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "sample")
 
     def count(it):
         seen: dict[str, list[int]] = {}
@@ -192,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
         sample.select("text", "y").mapInPandas(count, "t string, c1 long, c0 long")
         .groupBy("t").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
         .where((c1 >= max(2, n1 // 1000)) & (c1 / n1 > 4 * c0 / n0)).withColumn("g", gain).where("g > 6")
-        .orderBy(F.desc("g"), "t").limit(max_terms).select("t", "c1", "c0").collect()
+        .select("t", "c1", "c0").collect()
     )
     lexicon = Lexicon(select_terms([(r["t"], r["c1"], r["c0"]) for r in best], n1, n0))
 
@@ -221,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
         clean = F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c0")
         toxic = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("c1")
         found = sample.select("text", "y").mapInPandas(phrases, "a string, b string, y int, n long").groupBy("a", "b").agg(clean, toxic)
-        rows = found.where((F.col("c0") >= 5) & (F.col("c1") == 0)).orderBy(F.desc("c0"), "a", "b").limit(max_terms).collect()
+        rows = found.where((F.col("c0") >= 5) & (F.col("c1") == 0)).collect()
         lexicon.exceptions = {(r["a"], r["b"]) for r in rows}
     x = sample.select("text", "y").mapInPandas(measure, "a double, b double, c double, y int").toPandas()
     # a sum of many terms is taken in a fixed order, so that reruns agree
@@ -231,13 +234,16 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with a column ``score`` in 0 to 1; null texts count as empty.
-    A column of that name is replaced; the others are kept."""
+    """``docs`` with a column ``score`` in 0 to 1, row by row: null texts count
+    as empty, long ones are read whole, equal ones score alike, an empty table
+    gives an empty result.  A column of that name is replaced; the others are
+    kept."""
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         auto = lexicon.automaton()
-        return pd.Series([score_text(t, lexicon, auto) for t in texts], dtype="float64")
+        for texts in batches:
+            yield pd.Series([score_text(t, lexicon, auto) for t in texts], dtype="float64")
 
     return docs.withColumn("score", of(F.col("text").cast("string")))
 
@@ -248,7 +254,9 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFrame:
-    """``docs`` without those of a score of ``least`` or more."""
+    """``docs`` without those of a score of ``least`` or more.  Null texts count
+    as empty; rows without a doc_id and repeated rows are judged by their texts;
+    all columns stay as they are, one named score too."""
     if "score" not in docs.columns:
         return score(docs, lexicon).where(F.col("score") < least).drop("score")
     own = docs.withColumnRenamed("score", "_own_score")
