@@ -3,12 +3,13 @@
 The base patterns find assignments, access keys and long hexadecimal runs.
 Beside them, two Markov models of order 2 over character classes of tokens, one
 of random strings and one of ordinary identifiers, score every other token of
-``MIN_LENGTH`` characters or more: the log-likelihood ratio per transition and
-in sum decide.  The models are trained from labelled samples: as random, the
+``MIN_LENGTH`` characters or more: the log-likelihood ratio per character alone
+decides.  The models are trained from labelled samples: as random, the
 secrets that the base patterns find in a sample of documents, and strings drawn
 from the usual alphabets; as ordinary, the words of the sample's other text
-and identifiers composed of them.  The sample holds at most ``SAMPLE`` documents
-chosen by hash; only transition counts (a bounded table) reach the driver.
+and identifiers and numbers composed of them.  The sample holds at most
+``SAMPLE`` documents, those of least hash; only transition counts (a bounded
+table) reach the driver.
 Scanning covers every whole text.
 """
 
@@ -18,7 +19,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import log
 
 import numpy as np
@@ -26,6 +27,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from spanloom.llm.common import least_hashed
+
 # The base patterns with the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -38,6 +41,8 @@ MIN_LENGTH = 16
 SAMPLE = 4_000
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _START = "\x02"
+#: Characters that a chain tells apart, and the weight of the order below.
+_CLASSES, _PRIOR = 58, 2.0
 _CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 Span = tuple[int, int, int]
 
@@ -63,30 +68,57 @@ def transitions(token: str) -> Iterator[tuple[str, str]]:
         c = c[1] + x
 
 
+class Chain:
+    """A Markov model of order 2 from counts of (context, next character):
+    each order is smoothed towards the one below it, the lowest towards a
+    uniform character."""
+
+    def __init__(self, counts: Counter):
+        self.two, self.one, self.none = Counter(counts), Counter(), Counter()
+        for (c, x), n in counts.items():
+            self.one[(c[1], x)] += n
+            self.none[x] += n
+        self.of_two, self.of_one, self.all = Counter(), Counter(), sum(self.none.values())
+        for (c, _), n in self.two.items():
+            self.of_two[c] += n
+        for (c, _), n in self.one.items():
+            self.of_one[c] += n
+
+    def p(self, c: str, x: str) -> float:
+        p = (self.none[x] + _PRIOR / _CLASSES) / (self.all + _PRIOR)
+        p = (self.one[(c[1], x)] + _PRIOR * p) / (self.of_one[c[1]] + _PRIOR)
+        return (self.two[(c, x)] + _PRIOR * p) / (self.of_two[c] + _PRIOR)
+
+
 @dataclass
 class Models:
-    """Log-likelihood ratio by (context, character), random over ordinary, and
-    the floor for pairs that neither sample has."""
+    """The two chains, and the least log-likelihood ratio per character
+    (random over ordinary) of a random string: strings of letters alone, which
+    names and foreign words may be, need more."""
 
-    ratio: dict[tuple[str, str], float]
-    default: float = 0.0
-    least_mean: float = 0.35
-    least_sum: float = 8.0
+    random: Chain
+    ordinary: Chain
+    least: float = 2.5
+    least_letters: float = 3.0
+    _ratio: dict[tuple[str, str], float] = field(default_factory=dict)
 
     def llr(self, token: str) -> float:
-        return sum(self.ratio.get(p, self.default) for p in transitions(token))
+        out, held = 0.0, self._ratio
+        for pair in transitions(token):
+            r = held.get(pair)
+            if r is None:
+                r = held[pair] = log(self.random.p(*pair) / self.ordinary.p(*pair))
+            out += r
+        return out
 
     def is_random(self, token: str) -> bool:
-        if not any(x.isdigit() for x in token) or not any(x.isalpha() for x in token):
-            return False
-        s = self.llr(token)
-        return s >= self.least_sum and s >= self.least_mean * len(token)
+        return self.llr(token) >= (self.least_letters if token.isalpha() else self.least) * len(token)
 
 
-def generated_random(n: int = 1500) -> list[str]:
+def generated_random(n: int = 12_000, seed: int = 20) -> list[str]:
     """Strings drawn from the alphabets of keys and tokens, by a fixed seed."""
-    rng = np.random.default_rng(20)
-    alphabets = ["0123456789abcdef", _CHARS[26:62], _CHARS[:62], _CHARS[:64], _CHARS[:62] + "_-"]
+    rng = np.random.default_rng(seed)
+    alphabets = ["0123456789abcdef", _CHARS[26:62], _CHARS[:62], _CHARS[:64], _CHARS[:62] + "_-", _CHARS[:52], _CHARS[:26], _CHARS[:26] + _CHARS[52:62]]
     return ["".join(np.array(list(alphabets[i % len(alphabets)]))[rng.integers(0, len(alphabets[i % len(alphabets)]), int(rng.integers(16, 65)))]) for i in range(n)]
 
 
@@ -96,6 +128,8 @@ def composed(ws: list[str]) -> list[str]:
     for i in range(0, len(ws) - 2, 3):
         a, b, c = (w.lower() for w in ws[i : i + 3])
         out.append((f"{a}_{b}_{c}", f"{a}-{b}-{c}", f"{a}{b.capitalize()}{c.capitalize()}", f"{a.upper()}_{b.upper()}_{i % 100}", f"/{a}/{b}/{c}", f"{a}{b}{1900 + i % 200}")[i // 3 % 6])
+        if i % 30 == 0:
+            out.append(str(1 + i) * 40 if i % 60 else f"{1900 + i % 200}-{10 + i % 20}-{10 + i % 18}")
     return out
 
 
@@ -118,32 +152,19 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Models:
-    """Train both models on at most ``sample`` documents or so, by hash."""
-    total = docs.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, total)))
-    rows = docs.where(share).select(F.col("text").cast("string").alias("text")).mapInPandas(_count, "y int, c string, x string, n long").groupBy("y", "c", "x").agg(F.sum("n").alias("n")).collect()
+    """Train both models on at most ``sample`` documents, those of least hash.
+
+    Rows that repeat id and text count once; null texts are empty.  Without any
+    ordinary text the models find nothing, and the base patterns stand alone.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = least_hashed(own, sample, "doc_id", "text").select("text").mapInPandas(_count, "y int, c string, x string, n long").groupBy("y", "c", "x").agg(F.sum("n").alias("n")).collect()
     by: list[Counter] = [Counter(), Counter()]
     for r in rows:
         by[r["y"]][(r["c"], r["x"])] += r["n"]
     for t in generated_random():
         by[1].update(transitions(t))
-    return train(by[0], by[1])
-
-
-def train(ordinary: Counter, random: Counter) -> Models:
-    """Models from counted transitions, smoothed towards a uniform next
-    character."""
-    size = 54 + 4
-    sums = [Counter(), Counter()]
-    for k, by in enumerate((ordinary, random)):
-        for (c, _), n in by.items():
-            sums[k][c] += n
-
-    def p(k: int, by: Counter, c: str, x: str) -> float:
-        return (by[(c, x)] + 2.0 / size) / (sums[k][c] + 2.0)
-
-    pairs = sorted(set(ordinary) | set(random))
-    return Models({(c, x): log(p(1, random, c, x) / p(0, ordinary, c, x)) for c, x in pairs})
+    return Models(Chain(by[1]), Chain(by[0]))
 
 
 def scan_text(text: str | None, models: Models) -> tuple[list[Span], list[Span]]:
