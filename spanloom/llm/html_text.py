@@ -12,7 +12,7 @@ of them that are links:
     c / t * log_b (c / l * t / k),   b = ln(c / (c - l) * l + L / C * c + e)
 
 with c characters, t tags, l link characters and k link tags of the subtree
-(at least one each, as for c - l), and L / C the links' share of the body.
+(at least one each in the fractions, as for c - l), and L / C the links' share of the body.
 The subtree whose children's densities have the greatest sum is selected.  The
 least density on its path from the body is the threshold: an article or main
 element around it, and siblings along the path that reach the threshold, belong
@@ -22,6 +22,7 @@ to the text as well, as do headings before it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -59,9 +60,7 @@ _HOLDERS = frozenset("area bar box button buttons icon icons item items link lin
 _STATES = frozenset("has is no not with without".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<![^>]*>|<\?[^>]*>", re.DOTALL
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 # whole attributes, so that no value or part of a name passes for one
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TELLING = re.compile("class|id|role|hidden", re.IGNORECASE)
@@ -111,67 +110,168 @@ def _is_cut(tag: str, attrs: str) -> tuple[bool, int]:
     return False, named
 
 
+class _Finder:
+    """``str.find`` that asks again only behind the last answer: a mark that is
+    not found is not found from any later place either, so all questions
+    together read a page once."""
+
+    def __init__(self, text: str):
+        self.text, self.held = text, {}
+
+    def __call__(self, mark: str, at: int) -> int:
+        last = self.held.get(mark)
+        if last is None or -1 < last < at:
+            last = self.held[mark] = self.text.find(mark, at)
+        return last
+
+
+def _tag_end(find: _Finder, at: int, end: int) -> int:
+    """Where the tag whose attributes begin at ``at`` has its '>'; -1 if it
+    never closes.
+
+    A '>' inside a quoted value does not count, if the quote follows an equals
+    sign and is closed before the next '<'; else it is a plain character.
+    """
+    text = find.text
+    while True:
+        close = find(">", at)
+        if close < 0:
+            return -1
+        quote = min((q for q in (find('"', at), find("'", at)) if q >= 0), default=end)
+        if quote > close:
+            return close
+        pair = find(text[quote], quote + 1) if text[at:quote].rstrip().endswith("=") else -1
+        bound = find("<", quote)
+        if pair < 0 or 0 <= bound < pair:
+            at = quote + 1
+        else:
+            at = pair + 1
+
+
+def _tokens(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag, comment and
+    declaration (these without a name) of a page, in one pass.  A '<' that
+    opens none of these, or whose tag never closes, is text."""
+    at, end, find = 0, len(html), _Finder(html)
+    unended: set[str] = set()
+    while True:
+        at = html.find("<", at)
+        if at < 0 or at + 1 >= end:
+            return
+        nxt = html[at + 1]
+        if html.startswith("<!--", at):
+            close = find("-->", at + 4)
+            stop = end if close < 0 else close + 3
+            yield at, stop, "", False, ""
+            at = stop
+            continue
+        if nxt in "!?":
+            close = find(">", at)
+            if close < 0:
+                return
+            yield at, close + 1, "", False, ""
+            at = close + 1
+            continue
+        closing = nxt == "/"
+        m = _NAME.match(html, at + 1 + closing)
+        if m is None:
+            at += 1
+            continue
+        close = _tag_end(find, m.end(), end)
+        if close < 0:
+            return
+        tag = m[0].lower()
+        attrs = html[m.end() : close]
+        # a tag that another one interrupts is cut short there
+        broken = attrs.find("<")
+        if broken >= 0 and not _quoted(attrs, broken):
+            yield at, m.end() + broken, tag, closing, attrs[:broken]
+            at = m.end() + broken
+            continue
+        stop = close + 1
+        yield at, stop, tag, closing, attrs
+        if tag in _RAW and not closing and not attrs.endswith("/"):
+            found = None if tag in unended else re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(html, stop)
+            if found:
+                # what stands between belongs to the raw element
+                yield stop, found.start(), "", False, ""
+                stop = found.start()
+            else:
+                unended.add(tag)
+                if tag in ("script", "style"):
+                    yield stop, end, "", False, ""
+                    return
+        at = stop
+
+
+def _quoted(attrs: str, at: int) -> bool:
+    """Whether the character at ``at`` lies in a quoted value of a tag."""
+    return any(m.start(2) <= at < m.end(2) for m in _ATTR.finditer(attrs) if m[2] and m[2][0] in "\"'")
+
+
 def parse(html: str, by_name: bool = True) -> Node:
     """The body-rooted tree of a page; ``by_name`` cuts by attributes too."""
     root = Node("body", None)
-    at, here, end = 0, root, len(html)
-    while at < end:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            break
-        if m.start() > at:
-            here.parts.append(html[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    at, here = 0, root
+    opened: Counter = Counter()
+
+    def leave(top: Node) -> Node:
+        """Close all elements from ``here`` up to and with ``top``."""
+        nonlocal here
+        while True:
+            n = here
+            opened[n.tag] -= 1
+            here = n.parent
+            if n is top:
+                return here
+
+    for start, end, tag, closing, attrs in _tokens(html):
+        if start > at:
+            here.parts.append(html[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if closing:
             if tag == "br":
                 here.parts.append(Node("br", here))
                 continue
+            if opened[tag] <= 0:
+                continue
             up = here
-            while up is not None and up.tag != tag:
+            while up is not root and up.tag != tag:
                 # an inline end tag does not close a block
                 if tag not in _BLOCK and up.tag in _BLOCK:
-                    up = None
+                    up = root
                     break
                 up = up.parent
-            if up is not None and up.parent is not None:
-                here = up.parent
+            if up is not root:
+                leave(up)
             continue
-        if tag == "body":
-            here = root
+        if tag == "body" and here is not root:
+            while here is not root:
+                leave(here)
         if tag in ("html", "body"):
             continue
         if tag in _BLOCK and here.tag == "head":
-            here = root
-        closing = _ENDS.get(tag)
-        if closing:
-            up = here
-            last = None
-            while up.parent is not None:
-                if up.tag in closing:
+            leave(here)
+        closes = _ENDS.get(tag)
+        if closes and any(opened[t] > 0 for t in closes):
+            up, last = here, None
+            while up is not root:
+                if up.tag in closes:
                     last = up
                 elif up.tag in _SCOPE:
                     break
                 up = up.parent
             if last is not None:
-                here = last.parent
-        node = Node(tag, here, *_is_cut(tag, m[3] if by_name else ""))
+                leave(last)
+        node = Node(tag, here, *_is_cut(tag, attrs if by_name else ""))
         here.parts.append(node)
-        if tag in _VOID:
-            continue
-        if tag in _RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
-            if stop:
-                at = stop.end()
-            elif tag in ("script", "style"):
-                at = end
+        if tag in _VOID or tag in _RAW or attrs.endswith("/"):
             continue
-        if not m[3].endswith("/"):
-            here = node
-    if at < end:
+        here = node
+        opened[tag] += 1
+    if at < len(html):
         here.parts.append(html[at:])
     return root
 
