@@ -290,10 +290,34 @@ def test_contamination(spark, odd):
     assert got == {(1, 1): 1.0, (2, 1): 1.0, (10, 1): 1.0, (None, 5): 1.0, (5, 6): got[5, 6], (6, 6): got[5, 6]} and got[5, 6] >= 0.8
     left = decontamination.drop_contaminated(odd, items)
     assert left.columns == odd.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 4, 7, 8, 9, 9]
+    some = spark.createDataFrame([(None, prose(2, 60)), (None, prose(90, 60)), (7, prose(2, 60)), (7, prose(91, 60))], "doc_id long, text string")
+    nameless = spark.createDataFrame([(None, prose(2, 60)), (None, prose(92, 60))], "item_id long, text string")
+    assert {r["text"] for r in decontamination.drop_contaminated(some, nameless).collect()} == {prose(90, 60), prose(91, 60)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(some, nameless).collect()} == {(None, None), (7, None)}
     assert decontamination.contaminated(odd.where("false"), items).count() == 0
     assert decontamination.contaminated(odd, items.where("false")).count() == 0
 
 
+def test_long_items_against_all_pairs(spark):
+    """Items of up to 900 shingles at a containment of 0.8, some just below:
+    no minimum is left out."""
+    rng = random.Random(12)
+    items = [(i, prose(300 + i, 40 + 100 * i)) for i in range(9)]
+    docs = []
+    for i, t in items:
+        for k in range(12):
+            w = t.split()
+            n = int(len(w) * (0.17 + 0.005 * k))
+            at = rng.randrange(len(w) - n)
+            docs.append((100 * i + k, " ".join(["x"] * 50 + w[:at] + [prose(900 + k, 20)] + w[at + n :] + ["y"] * 30)))
+    shingles = lambda t: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)}
+    own, bench = {i: shingles(t) for i, t in docs}, {i: shingles(t) for i, t in items}
+    want = {(d, i) for d, s in own.items() for i, b in bench.items() if len(s & b) >= 0.8 * len(b) - 1e-9}
+    assert 30 < len(want) < 100
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 def test_mixing_edges(spark, odd):
     got = mixing.assign(odd)
     by = {r["doc_id"]: r for r in got.collect()}
@@ -330,6 +354,18 @@ def test_sharding_edges(spark, odd, monkeypatch):
     assert sharding.assign(odd.where("false")).count() == 0
 
 
+def test_sharding_keeps_groups_of_equal_texts(spark, monkeypatch):
+    """Copies from several sources, one group of a third of all rows."""
+    monkeypatch.setattr(sharding, "BIN", 20)
+    rows = [(i, prose(i % 90, 8) if i % 3 else "the same", "abcd"[i % 4], "xy"[i % 2]) for i in range(600)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 10).toPandas()
+    assert got.groupby("shard").size().tolist() == [60] * 10
+    got["text"] = got["doc_id"].map({i: t for i, t, _, _ in rows})
+    by = got.groupby("text")["shard"].agg(["nunique", "min", "max"])
+    assert (by["max"] - by["min"] + 1 == by["nunique"]).all() and (by["nunique"] > 1).sum() <= 9
+    assert by.loc["the same", "nunique"] in (4, 5)
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("ІDI0T, tra$h! ｓcum") == " idiot trash scum "
     lex = toxicity.Lexicon({" trash": 5.0, " trashy": 7.0, " rot ": 3.0}, {("trash", "can")})
@@ -457,4 +493,4 @@ def test_secret_spans(spark, odd):
 
 
 def test_secrets_fit_on_nothing(spark, odd):
-    assert secrets.fit(odd.where("false")).ratio
+    assert not secrets.fit(odd.where("false")).is_random("0a9Zk3Qp7xLw2VbN8sTr")

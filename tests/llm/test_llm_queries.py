@@ -107,6 +107,12 @@ def test_sharding_laws(spark, data):
         assert (r.size, r.text_crc32, r.law) == (len(raw) + 8, zlib.crc32(raw), "rows")
     order = got.sort_values(["shard", "slot"])["curve"]
     assert order.is_monotonic_increasing
+    # groups of equal texts: only one that a full shard cuts lies in two
+    got["text"] = got["doc_id"].map(docs)
+    cut = [g for _, g in got.groupby("text") if g["shard"].nunique() > 1]
+    assert len(cut) <= 23 and all(g["curve"].nunique() == 1 for _, g in got.groupby("text"))
+    for g in cut:
+        assert sorted(g["shard"].unique()) == list(range(g["shard"].min(), g["shard"].max() + 1))
 
 
 def test_extraction_on_the_pages(spark, data):
