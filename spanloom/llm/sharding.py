@@ -27,7 +27,7 @@ from spanloom.llm.common import materialize, small_side
 
 BITS = 5
 SHARDS = 24
-BIN = 1_000
+BIN = 400
 #: Bins that one window task may sum up; beyond them bins grow.
 MOST_BINS = 500_000
 
