@@ -232,9 +232,9 @@ def _buckets(classes: DataFrame) -> DataFrame:
     classes share, n to a bucket; degree sums n over a member's buckets."""
     rows = classes.where("size > 0").select("id", "size", F.posexplode("keys").alias("r", "key"))
     # written, as a count and a join in one stage share an exchange, and AQE then
-    # does not split a hot key
+    # does not split a hot key; hashing the few shared keys needs no sort of all
     shared = materialize(rows.groupBy("r", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    met = materialize(rows.join(shared, ["r", "key"]), "buckets")
+    met = materialize(rows.join(shared.hint("shuffle_hash"), ["r", "key"]), "buckets")
     release(shared)
     return met.join(met.groupBy("id").agg(F.sum("n").alias("degree")), "id")
 

@@ -128,8 +128,8 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     """(id, m) of the texts that an earlier document has whole; ``docs`` has
     (id, m) with m the digest of a row's text."""
     hashed = docs.select("id", "m").where("m IS NOT NULL")
-    first = hashed.groupBy("m").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    return hashed.join(first, "m").where("id > first").select("id", "m").distinct()
+    first = materialize(hashed.groupBy("m").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "firsts")
+    return hashed.join(first.hint("shuffle_hash"), "m").where("id > first").select("id", "m").distinct()
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -139,14 +139,14 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # written, as a count and a join in one stage share an exchange, and AQE then
     # does not split a hot anchor
     repeated = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
-    flags = materialize(anchors.join(repeated, "h", "left_semi").groupBy("id").agg(F.collect_list("at").alias("flags")), "flags")
+    flags = materialize(anchors.join(repeated.hint("shuffle_hash"), "h", "left_semi").groupBy("id").agg(F.collect_list("at").alias("flags")), "flags")
     release(anchors)
     release(repeated)
     met = docs.join(flags, "id").select("id", "text", "flags")
     found = materialize(met.mapInArrow(_candidates(window), "h1 long, h2 int, id long"), "windows")
     first = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     first = materialize(first, "first")
-    later = materialize(found.join(first, ["h1", "h2"]).where("id > first").groupBy("id").agg(F.collect_set("h1").alias("later")), "later")
+    later = materialize(found.join(first.hint("shuffle_hash"), ["h1", "h2"]).where("id > first").groupBy("id").agg(F.collect_set("h1").alias("later")), "later")
     release(found)
     release(first)
     return later
