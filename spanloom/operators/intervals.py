@@ -9,6 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanloom.operators.joins import asof_join, interval_join
+
+#: Seconds of a time bucket.
+BUCKET = 60
+
 
 def is_finite(x: Column) -> Column:
     """Neither null, NaN nor infinite (Spark's NaN equals itself and exceeds
@@ -61,19 +66,31 @@ def union(df: DataFrame, key: list[str], slack: float = 0) -> DataFrame:
     return islands(real, key, slack).groupBy(*key, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n")).drop("island")
 
 
-def uncovered(df: DataFrame, key: list[str], ident: str, covers: DataFrame) -> DataFrame:
-    """(key, ident, uncovered): the length of each interval of ``df`` that no
-    interval of ``covers`` (key, a, b) covers."""
+def uncovered(df: DataFrame, key: list[str], ident: str, covers: DataFrame, bucket: float = BUCKET) -> DataFrame:
+    """(key, ident, a, b, uncovered): the length of each interval of ``df`` that
+    no interval of ``covers`` (key, a, b) covers; the two meet in buckets."""
     solid = union(covers, key).select(*key, F.col("a").alias("_ca"), F.col("b").alias("_cb"))
-    met = df.join(solid, key, "left").where(F.lit(True))
-    part = overlap(F.col("a"), F.col("b"), F.col("_ca"), F.col("_cb"))
-    out = met.groupBy(*key, ident, "a", "b").agg(F.sum(F.coalesce(part, F.lit(0))).alias("_c"))
-    return out.select(*key, ident, "a", "b", F.greatest(F.lit(0), F.col("b") - F.col("a") - F.col("_c")).alias("uncovered"))
+    own = df.select(*key, ident, "a", "b")
+    met = interval_join(own, solid, key, bucket, ("a", "b"), ("_ca", "_cb"))
+    part = met.groupBy(*key, ident, "a", "b").agg(F.sum(overlap(F.col("a"), F.col("b"), F.col("_ca"), F.col("_cb"))).alias("_c"))
+    left = F.greatest(F.lit(0), F.col("b") - F.col("a") - F.coalesce("_c", F.lit(0)))
+    return own.join(part, [*key, ident, "a", "b"], "left").select(*key, ident, "a", "b", left.alias("uncovered"))
 
 
 def covered(df: DataFrame, key: list[str], ident: str, covers: DataFrame, slack: float = 1e-9) -> DataFrame:
     """(key, ident, covered): whether one interval of the union of ``covers``,
-    joined over gaps up to ``slack``, holds the whole interval."""
-    solid = union(covers, key, slack).select(*key, F.col("a").alias("_ca"), F.col("b").alias("_cb"))
-    inside = (F.col("_ca") <= F.col("a") + slack) & (F.col("_cb") >= F.col("b") - slack)
-    return df.join(solid, key, "left").groupBy(*key, ident).agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("covered"))
+    joined over gaps up to ``slack``, holds the whole interval.  The last of
+    these that starts by its start is the only one that can (an as-of join)."""
+    solid = union(covers, key, slack).select(*key, F.col("a").cast("double").alias("_ca"), F.col("b").alias("_cb"))
+    own = df.select(*key, ident, (F.col("a") + slack).cast("double").alias("_at"), (F.col("b") - slack).alias("_to"))
+    met = asof_join(own, solid, key, "_at", "_ca")
+    return met.select(*key, ident, F.coalesce(F.col("_cb") >= F.col("_to"), F.lit(False)).alias("covered"))
+
+
+def complement(df: DataFrame, key: list[str], total: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(key, a, b): what sorted disjoint spans leave of [0, n), ``total`` (key, n)."""
+    w = Window.partitionBy(*key).orderBy(a)
+    ends = total.select(*key, F.col("n").alias(a), F.col("n").alias(b))
+    marks = df.select(*key, a, b).union(ends)
+    out = marks.withColumn("_from", F.coalesce(F.lag(b).over(w), F.lit(0)))
+    return out.where(F.col("_from") < F.col(a)).select(*key, F.col("_from").alias("a"), F.col(a).alias("b"))

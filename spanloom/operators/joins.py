@@ -33,18 +33,28 @@ def interval_join(left: DataFrame, right: DataFrame, key: list[str], bucket: int
     return tagged.join(met.select("_row", *extra), "_row", "left").drop("_row")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, key: list[str], ident: list[str], left_at: str, right_at: str, tolerance: float | None, tie: list[str]) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, key: list[str], left_at: str, right_at: str, tolerance: float | None, tie: list[str]) -> DataFrame:
     """Each left row with its nearest right row of the key, |difference| at
     most ``tolerance`` (inclusive); ties go to the least of ``tie``; left rows
-    without one stay, with nulls."""
-    away = F.abs(F.col(left_at) - F.col(right_at))
+    without one stay, with nulls.
+
+    The nearest row is the last before or the first after: two as-of joins
+    with the best row of each place, linear in both sides.
+    """
     cols = [c for c in right.columns if c not in key]
-    met = left.join(right, key)
-    if tolerance is not None:
-        met = met.where(away <= tolerance)
-    order = F.struct(away.alias("away"), *[F.col(t) for t in tie])
-    best = met.groupBy(*key, *ident).agg(F.min_by(F.struct(*cols), order).alias("_best"))
-    return left.join(best, [*key, *ident], "left").select(*left.columns, *[F.col(f"_best.{c}").alias(c) for c in cols])
+    order = F.struct(*[F.col(t) for t in tie])
+    places = right.where(F.col(right_at).isNotNull()).groupBy(*key, F.col(right_at).alias("_place")).agg(F.min_by(F.struct(*cols), order).alias("_r"))
+    met = left
+    for name, direction in (("_b", "backward"), ("_f", "forward")):
+        met = asof_join(met, places.withColumnsRenamed({"_place": f"_p{name}", "_r": name}), key, left_at, f"_p{name}", direction)
+
+    def candidate(name: str) -> Column:
+        away = F.abs(F.col(left_at) - F.col(f"_p{name}"))
+        near = away.isNotNull() if tolerance is None else away <= tolerance
+        return F.when(near, F.struct(away.alias("away"), *[F.col(f"{name}.{t}").alias(f"t{k}") for k, t in enumerate(tie)], F.col(name).alias("r")))
+
+    best = F.least(candidate("_b"), candidate("_f"))
+    return met.withColumn("_best", best["r"]).select(*left.columns, *[F.col(f"_best.{c}").alias(c) for c in cols])
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: list[str], left_at: str, right_at: str, direction: str = "backward") -> DataFrame:

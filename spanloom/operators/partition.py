@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 MAX_SECONDS, SEARCH_SECONDS, LEAST_SECONDS, WINDOW_SECONDS = 180.0, 5, 10, 0.1
+# Names of boundaries, and of one that a recording without a signal gets.
+PREFERRED, EARLY, FORCED, NO_SIGNAL = "vad_pause_preferred", "vad_pause_early", "forced_low_energy_no_vad_pause", "forced_maximum_without_signal"
 PLAN_SCHEMA = "part int, a long, b long, boundary string"
 
 
@@ -52,40 +54,52 @@ def energy_plan(x: np.ndarray, rate: int, max_seconds: float = MAX_SECONDS) -> l
 
 def pause_plan(mids: list[int], n: int, rate: int, max_seconds: float = MAX_SECONDS, x: np.ndarray | None = None) -> list[tuple[int, int, str]]:
     """Parts that end at the latest pause midpoint in their second half, else
-    at the latest early one, else by energy (or the maximum without a signal)."""
+    at the latest early one, else at the quietest place near the maximum; only
+    without a signal ``x`` at the maximum itself."""
     top, search, width = limits(rate, max_seconds)
+    if x is not None and (len(x) != n or not np.isfinite(x).all()):
+        raise ValueError("the signal must be finite and as long as the recording")
     early = ceil(min(SEARCH_SECONDS * rate, top / 4))
     parts, at = [], 0
     while n - at > top:
         half = at + (top + 1) // 2
         cut, kind = None, ""
-        for lo, hi, name in ((half, at + top, "pause"), (at + early, half - 1, "early_pause")):
+        for lo, hi, name in ((half, at + top, PREFERRED), (at + early, half - 1, EARLY)):
             i = bisect_right(mids, hi)
             if i > bisect_left(mids, lo):
                 cut, kind = mids[i - 1], name
                 break
         if cut is None and x is not None:
             target = at + top - search
-            cut, kind = quiet_cut(x, max(at, target - search), min(n, target + search), width, target)
+            # what is left counts up to one sample past the maximum
+            cut, _ = quiet_cut(x, max(at, target - search), min(at + top + 1, target + search), width, target)
+            kind = FORCED
         elif cut is None:
-            cut, kind = at + top, "maximum"
+            cut, kind = at + top, NO_SIGNAL
         parts.append((at, cut, kind))
         at = cut
     return [*parts, (at, n, "input_end")]
 
 
-def partition_at_pauses(pauses: DataFrame, totals: DataFrame, rate: int, max_seconds: float = MAX_SECONDS) -> DataFrame:
-    """(rec, part, a, b, boundary) of each recording: ``totals`` (rec, samples)
-    and its pauses (rec, midpoint).  A recording's pauses are one array; cuts
-    depend on the cut before, so each is walked once, recordings in parallel."""
+def partition_at_pauses(pauses: DataFrame, totals: DataFrame, rate: int, max_seconds: float = MAX_SECONDS, signals: DataFrame | None = None) -> DataFrame:
+    """(rec, part, a, b, boundary) of each recording: ``totals`` (rec, samples),
+    its pauses (rec, midpoint) and, for cuts where there are none, ``signals``
+    (rec, pcm binary of float32).  Cuts depend on the cut before, so each
+    recording is walked once, recordings in parallel."""
     mids = pauses.groupBy("rec").agg(F.array_sort(F.collect_list("midpoint")).alias("mids"))
+    met = totals.select("rec", "samples").join(mids, "rec", "left")
+    met = met.withColumn("pcm", F.lit(None).cast("binary")) if signals is None else met.join(signals.select("rec", "pcm"), "rec", "left")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
-            rows = [(rec, i, *part) for rec, n, m in zip(p["rec"], p["samples"], p["mids"]) for i, part in enumerate(pause_plan([] if m is None else [int(v) for v in m], int(n), rate, max_seconds))]
+            rows = [
+                (rec, i, *part)
+                for rec, n, m, pcm in zip(p["rec"], p["samples"], p["mids"], p["pcm"])
+                for i, part in enumerate(pause_plan([] if m is None else [int(v) for v in m], int(n), rate, max_seconds, None if pcm is None else np.frombuffer(pcm, "<f4")))
+            ]
             yield pd.DataFrame(rows, columns=["rec", "part", "a", "b", "boundary"])
 
-    return totals.select("rec", "samples").join(mids, "rec", "left").mapInPandas(run, f"rec {dict(totals.dtypes)['rec']}, {PLAN_SCHEMA}")
+    return met.mapInPandas(run, f"rec {dict(totals.dtypes)['rec']}, {PLAN_SCHEMA}")
 
 
 def partition_by_energy(signals: DataFrame, rate: int, max_seconds: float = MAX_SECONDS) -> DataFrame:

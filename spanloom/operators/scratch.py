@@ -67,3 +67,12 @@ def small_side(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """Mark ``df`` for broadcast if its counted ``rows`` (or, of rows that hold
     arrays, counted elements) stay under ``most``."""
     return F.broadcast(df) if rows <= most else df
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` dealt over at least four tasks per core, and not fewer than the
+    shuffle partitions: for Python-bound passes, whose work small files would
+    leave to one task and AQE would coalesce by bytes."""
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *cols)

@@ -105,11 +105,13 @@ def activity_candidates(df: DataFrame, gap: float = MERGE_GAP_SECONDS, anchor: f
 
 def uncertain_boundaries(groups: DataFrame, events: DataFrame, key: str = "rec", speaker: str = "spk", bucket: int = BUCKET) -> DataFrame:
     """(key, spk, grp, side, at, from, until, n, speakers): group starts and ends that fall
-    strictly inside another speaker's event."""
-    ends = groups.select(key, speaker, "grp", F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("a").alias("at")), F.struct(F.lit("end").alias("side"), F.col("b").alias("at")))).alias("e")).select(key, speaker, "grp", "e.*")
+    strictly inside another speaker's event.  The range is that of the events,
+    cut to the group; unresolved groups have none."""
+    own = groups.where("activity <> 'unresolved'") if "activity" in groups.columns else groups
+    ends = own.select(key, speaker, "grp", F.col("a").alias("_a"), F.col("b").alias("_b"), F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("a").alias("at")), F.struct(F.lit("end").alias("side"), F.col("b").alias("at")))).alias("e")).select(key, speaker, "grp", "_a", "_b", "e.*")
     other = events.select(key, F.col(speaker).alias("_os"), F.col("a").alias("_oa"), F.col("b").alias("_ob"))
     met = interval_join(ends, other, [key], bucket, ("at", "at"), ("_oa", "_ob")).where(F.col("_os") != F.col(speaker))
-    return met.groupBy(key, speaker, "grp", "side", "at").agg(F.min("_oa").alias("from"), F.max("_ob").alias("until"), F.count("*").alias("n"), F.array_sort(F.collect_set("_os")).alias("speakers"))
+    return met.groupBy(key, speaker, "grp", "side", "at").agg(F.min(F.greatest("_a", "_oa")).alias("from"), F.max(F.least("_b", "_ob")).alias("until"), F.count("*").alias("n"), F.array_sort(F.collect_set("_os")).alias("speakers"))
 
 
 def major_turns(df: DataFrame, key: str, order: list[str], speaker: str) -> DataFrame:

@@ -84,7 +84,7 @@ def snap_transitions(changes: DataFrame, bounds: DataFrame, gates: DataFrame, sn
     """
     open_ = bounds.where("eligible").select("rec", "cut", F.col("at").alias("snapped"))
     met = changes.join(gates, "rec", "left").withColumn("gated", F.coalesce("gated", F.lit(False)))
-    near = joins.nearest_join(met, open_, ["rec"], ["id"], "at", "snapped", snap, ["cut"])
+    near = joins.nearest_join(met, open_, ["rec"], "at", "snapped", snap, ["cut"])
     near = near.withColumns({"cut": F.when(~F.col("gated"), F.col("cut")), "snapped": F.when(~F.col("gated"), F.col("snapped"))})
     clash = sessionize.conflicts(near.where("cut IS NOT NULL"), "rec", "id", "cut").where("conflict").select("rec", "id", "conflict")
     out = near.join(clash, ["rec", "id"], "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
@@ -119,7 +119,7 @@ def attribute(texts: DataFrame, tokens: DataFrame, events: DataFrame, regions: D
     number = F.row_number().over(Window.partitionBy("rec").orderBy("a")) - 1
     s = spans.withColumn("pos", number).join(texts.select("rec", "offset", "duration"), "rec").join(gates, "rec").join(first, "rec", "left")
     area = regions.select("rec", F.col("xa").alias("_xa"), F.col("xb").alias("_xb"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    s = s.join(area, "rec").where("_xa <= a AND a < _xb").drop("_xa", "_xb")
+    s = joins.point_in_interval(s, area, ["rec"], "a", "_xa", "_xb").where("_xa IS NOT NULL").drop("_xa", "_xb")
 
     # tokens of a sentence, and what their times allow
     held = tokens.where("xa IS NOT NULL").withColumns({"xa": F.col("xa").cast("long"), "xb": F.col("xb").cast("long")})
@@ -149,12 +149,16 @@ def attribute(texts: DataFrame, tokens: DataFrame, events: DataFrame, regions: D
     s = materialize(s.drop("held"))
 
     # the last applicable change decides; one inside makes the row unsafe
-    m = moves.select("rec", F.col("id").alias("move"), "to_speaker", "resolved", F.col("cut").alias("m_cut"), F.col("at").alias("m_at"))
-    mm = s.select("rec", "pos", "a", "b", "start", "end").join(m, "rec")
-    over = F.when(F.col("resolved"), F.col("a") >= F.col("m_cut")).otherwise(F.col("start") >= F.col("m_at"))
-    inside = F.when(F.col("resolved"), F.col("b") > F.col("m_cut")).otherwise(F.col("end") > F.col("m_at"))
-    mm = mm.groupBy("rec", "pos").agg(F.max_by("to_speaker", F.when(over, F.col("move"))).alias("moved"), F.bool_or(~over & inside).alias("cut_inside"))
-    s = materialize(s.join(mm, ["rec", "pos"], "left").withColumn("main", F.coalesce("moved", "first_speaker")))
+    # resolved ones apply in text, the others in time, and both in order
+    last = F.max(F.struct(F.col("id").alias("move"), "to_speaker"))
+    cuts = moves.where("resolved").groupBy("rec", F.col("cut").alias("m_cut")).agg(last.alias("by_cut"))
+    times = moves.where("NOT resolved").groupBy("rec", F.col("at").alias("m_at")).agg(last.alias("by_time"))
+    s = joins.asof_join(joins.asof_join(s, cuts, ["rec"], "a", "m_cut"), times, ["rec"], "start", "m_at").drop("m_cut", "m_at")
+    s = s.withColumn("main", F.coalesce(F.greatest("by_cut", "by_time")["to_speaker"], "first_speaker")).drop("by_cut", "by_time")
+    point = lambda df, c: df.select("rec", F.col(c).alias("_p"), F.col(c).alias("_q"))
+    met = joins.interval_join(s.select("rec", "pos", "a", "b"), point(cuts, "m_cut"), ["rec"], CHARACTERS, ("a", "b"), ("_p", "_q")).select("rec", "pos")
+    met = met.union(joins.interval_join(s.select("rec", "pos", "start", "end"), point(times, "m_at"), ["rec"], sessionize.BUCKET, ("start", "end"), ("_p", "_q")).select("rec", "pos"))
+    s = materialize(s.join(met.distinct().withColumn("cut_inside", F.lit(True)), ["rec", "pos"], "left"))
 
     # activity in the sentence's time
     e = grouped.select("rec", F.col("id").alias("eid"), F.col("spk").alias("espk"), F.col("a").alias("ea"), F.col("b").alias("eb"), "lasting")

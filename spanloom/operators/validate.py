@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanloom.functions.text import canonical, digest
 from spanloom.operators.joins import full_diff
+from spanloom.operators.scratch import materialize
 
 LONGER_SLACK = 1e-7
 
@@ -76,10 +77,15 @@ def inventory(spark: SparkSession, directory: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def manifest_digest(files: DataFrame) -> DataFrame:
-    """(n, bytes, sha256) of a whole inventory, in path order."""
+def manifest_digest(files: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(key, n, bytes, missing, sha256) of each inventory, in path order;
+    ``missing`` counts entries without a size.
+
+    One inventory's lines are one array: those of a model or an installation are
+    thousands of lines.  Give a key (a directory, a recording) to digest more.
+    """
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256"))), lambda x: F.concat_ws("\t", x["path"], x["bytes"].cast("string"), x["sha256"])), "\n")
-    return files.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sha2(lines, 256).alias("sha256"))
+    return files.groupBy(*(key or [])).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.count_if(F.col("bytes").isNull()).alias("missing"), F.sha2(lines, 256).alias("sha256"))
 
 
 def manifest_violations(files: DataFrame) -> DataFrame:
@@ -91,11 +97,15 @@ def manifest_violations(files: DataFrame) -> DataFrame:
 
 
 def descendants(spark: SparkSession, parents: DataFrame, root: int) -> DataFrame:
-    """(id, depth) of all that descend from ``root`` in (id, parent), itself
-    at depth 0, by a recursive query."""
-    parents.createOrReplaceTempView("_spanloom_parents")
-    return spark.sql(f"""
-        WITH RECURSIVE down(id, depth) AS (
-          SELECT CAST({root} AS BIGINT), 0 UNION ALL
-          SELECT p.id, d.depth + 1 FROM down d JOIN _spanloom_parents p ON p.parent = d.id WHERE p.id <> p.parent)
-        SELECT * FROM down""")
+    """(id, depth) of all that descend from ``root`` in (id, parent), itself at
+    depth 0: level by level, each id once, so cycles end.  A job to a level."""
+    edges = parents.select("id", "parent")
+    level = seen = spark.createDataFrame([(root, 0)], "id long, depth int")
+    depth = 0
+    while True:
+        depth += 1
+        below = edges.join(level.select(F.col("id").alias("parent")), "parent").select(F.col("id").cast("long").alias("id")).distinct()
+        level = materialize(below.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if level.isEmpty():
+            return seen
+        seen = seen.union(level)

@@ -119,11 +119,12 @@ def save(doc: Document, path: str) -> None:
     documents.write_text(rv.render(doc.rows), "body", f"{path}/transcript.txt")
 
 
-def chunk_plan(frames: DataFrame, rate: int, max_seconds: float = partition.MAX_SECONDS) -> DataFrame:
-    """Parts of each recording from its score frames."""
+def chunk_plan(frames: DataFrame, rate: int, max_seconds: float = partition.MAX_SECONDS, signals: DataFrame | None = None) -> DataFrame:
+    """Parts of each recording from its score frames and, for places without a
+    pause, its signal (rec, pcm)."""
     totals = frames.groupBy("rec").agg(F.max("end_sample").alias("samples"))
     pauses = sessionize.pause_runs(frames, totals, rate).where("NOT edge")
-    return partition.partition_at_pauses(pauses, totals, rate, max_seconds)
+    return partition.partition_at_pauses(pauses, totals, rate, max_seconds, signals)
 
 
 def run_pipeline(spark: SparkSession, texts: DataFrame, tokens: DataFrame, events: DataFrame, readings: DataFrame | None = None, regions: DataFrame | None = None, path: str | None = None) -> Document:

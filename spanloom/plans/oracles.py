@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries, written from the semantics, not from the plans.
 
-No SQL: token_map, text_audit and audit_signals (sequence matching), and
-sentence_attribution (tests hold it against a plain loop).
+No SQL: the token maps and audits (sequence matching), sentence_attribution and
+scanned_inventory; tests hold these against plain loops.
 """
 
 from __future__ import annotations
@@ -58,19 +58,23 @@ _PAUSES = f"""{_FRAMES},
 low AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY rec ORDER BY frame_idx) AS run FROM frames WHERE probability < 0.35),
 pr AS (SELECT rec, CAST(min(frame_idx) * 512 AS BIGINT) AS a, CAST((max(frame_idx) + 1) * 512 AS BIGINT) AS b, count(*) AS n, min(frame_idx) AS first_frame FROM low GROUP BY rec, run HAVING count(*) * 512 >= 1024),
 pe AS (SELECT pr.*, (a + b) // 2 AS midpoint, a = 0 OR b = samples AS edge FROM pr JOIN totals USING (rec))"""
-_GREEDY = f"""{_PAUSES},
-mids AS (SELECT rec, midpoint AS m FROM pe WHERE NOT edge),
-plan AS (SELECT rec, 0 AS part, CAST(0 AS BIGINT) AS a, CASE WHEN samples > 10752 THEN coalesce(
-    (SELECT max(m) FROM mids WHERE mids.rec = t.rec AND m BETWEEN 5376 AND 10752),
-    (SELECT max(m) FROM mids WHERE mids.rec = t.rec AND m BETWEEN 2560 AND 5375), 10752) ELSE samples END AS b,
-  CASE WHEN samples <= 10752 THEN 'input_end' WHEN EXISTS (SELECT 1 FROM mids WHERE mids.rec = t.rec AND m BETWEEN 5376 AND 10752) THEN 'pause'
-    WHEN EXISTS (SELECT 1 FROM mids WHERE mids.rec = t.rec AND m BETWEEN 2560 AND 5375) THEN 'early_pause' ELSE 'maximum' END AS boundary, samples FROM totals t
+def _greedy(top: int, half: int, early: int, forced: str, name: str) -> str:
+    """A recursive walk over mids(rec, m) and totals(rec, samples)."""
+    late = f"(SELECT max(m) FROM mids WHERE mids.rec = p.rec AND m BETWEEN p.b + {half} AND p.b + {top})"
+    soon = f"(SELECT max(m) FROM mids WHERE mids.rec = p.rec AND m BETWEEN p.b + {early} AND p.b + {half} - 1)"
+    return f"""walk AS (SELECT rec, -1 AS part, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, '' AS boundary, samples FROM totals
   UNION ALL
-  SELECT p.rec, p.part + 1, p.b, CASE WHEN p.samples - p.b > 10752 THEN coalesce(
-    (SELECT max(m) FROM mids WHERE mids.rec = p.rec AND m BETWEEN p.b + 5376 AND p.b + 10752),
-    (SELECT max(m) FROM mids WHERE mids.rec = p.rec AND m BETWEEN p.b + 2560 AND p.b + 5375), p.b + 10752) ELSE p.samples END,
-  CASE WHEN p.samples - p.b <= 10752 THEN 'input_end' WHEN EXISTS (SELECT 1 FROM mids WHERE mids.rec = p.rec AND m BETWEEN p.b + 5376 AND p.b + 10752) THEN 'pause'
-    WHEN EXISTS (SELECT 1 FROM mids WHERE mids.rec = p.rec AND m BETWEEN p.b + 2560 AND p.b + 5375) THEN 'early_pause' ELSE 'maximum' END, p.samples FROM plan p WHERE p.b < p.samples)"""
+  SELECT p.rec, p.part + 1, p.b, CASE WHEN p.samples - p.b > {top} THEN coalesce({late}, {soon}, {forced}) ELSE p.samples END,
+  CASE WHEN p.samples - p.b <= {top} THEN 'input_end' WHEN {late} IS NOT NULL THEN 'vad_pause_preferred' WHEN {soon} IS NOT NULL THEN 'vad_pause_early' ELSE '{name}' END, p.samples FROM walk p WHERE p.b < p.samples),
+plan AS (SELECT * FROM walk WHERE part >= 0)"""
+
+
+_GREEDY = f"""{_PAUSES}, mids AS (SELECT rec, midpoint AS m FROM pe WHERE NOT edge), {_greedy(10752, 5376, 2560, "p.b + 10752", "forced_maximum_without_signal")}"""
+# four samples to a frame; the quietest window of four samples, then its least sample
+_SIGNAL = """sig AS (SELECT rec, frame_idx * 4 + k AS i, CAST(floor(probability * 1000) AS BIGINT) * 4 + k * 3 % 4 AS x FROM frames, range(4) t(k)),
+win AS (SELECT rec, i, CAST(sum(x) OVER w AS BIGINT) AS e, min(x * 10000000 + i) OVER w % 10000000 AS cut FROM sig WINDOW w AS (PARTITION BY rec ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))"""
+_QUIET = "(SELECT arg_min(cut, e * 10000000 + i) FROM win WHERE win.rec = p.rec AND i BETWEEN p.b + 4 AND p.b + 40)"
+_FRAMES4 = _FRAMES.replace("* 512", "* 4")
 _ROWS = """r0 AS (SELECT doc_id % 20 AS rec, doc_id AS id, text, source FROM documents),
 trows AS (SELECT *, CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS a, CAST(sum(length(text)) OVER w AS BIGINT) AS b FROM r0 WINDOW w AS (PARTITION BY rec ORDER BY id ROWS UNBOUNDED PRECEDING))"""
 _LINKS = f"""{_ROWS}, tot AS (SELECT rec, max(b) AS n FROM trows GROUP BY rec),
@@ -90,10 +94,10 @@ _COMPOSE = f"""{_PARTS},
 ord AS (SELECT o_orderkey AS key, o_custkey AS rec, o_orderpriority AS text, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS part,
   coalesce(sum(length(o_orderpriority) + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars,
   count(*) OVER (PARTITION BY o_custkey) AS of FROM orders),
-it AS (SELECT o.rec, o.part, p.part AS idx, o.part * 10 + p.part AS a0, o.chars, o.of, p.part = 0 AS first, p.part = max(p.part) OVER k AS last,
+it AS (SELECT o.rec, o.part, p.repaired, p.part AS idx, o.part * 10 + p.part AS a0, o.chars, o.of, p.part = 0 AS first, p.part = max(p.part) OVER k AS last,
   sum(CASE WHEN p.repaired THEN 1 ELSE 0 END) OVER k / count(*) OVER k > 0.1 AS gated FROM parts p JOIN ord o ON o.key = p.rec WINDOW k AS (PARTITION BY p.rec)),
 comp AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY part, idx) - 1 AS index, CAST(part AS INTEGER) AS part, CAST(idx AS INTEGER) AS idx, CAST(a0 AS DOUBLE) AS a, a0 + 0.5::DOUBLE AS b,
-  CAST(idx + chars AS INTEGER) AS xa, CAST(idx + 1 + chars AS INTEGER) AS xb, gated, (first AND part > 0) OR (last AND part < of - 1) AS seam FROM it)"""
+  CAST(idx + chars AS INTEGER) AS xa, CAST(idx + 1 + chars AS INTEGER) AS xb, gated, repaired, (first AND part > 0) OR (last AND part < of - 1) AS seam FROM it)"""
 _UNITS = f"""{_TURNS.split('chg AS')[0].rstrip().rstrip(',')},
 un AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY "at", id, spk, len) - 1 AS unit_index, spk, CAST("at" % 100000 AS DOUBLE) AS s,
   CASE WHEN len % 11 > 0 THEN CAST("at" % 100000 + len AS DOUBLE) END AS e FROM ev),
@@ -113,15 +117,17 @@ ORACLES: dict[str, str] = {
     "pause_runs": f"""WITH {_PAUSES} SELECT rec, a, b, n, midpoint, edge, CASE WHEN NOT edge THEN row_number() OVER (PARTITION BY rec, edge ORDER BY a) - 1 END AS id, first_frame FROM pe""",
     "greedy_partition_pauses": f"""WITH RECURSIVE {_GREEDY} SELECT rec, CAST(part AS BIGINT) AS part, a, b, boundary FROM plan""",
     "pause_partition_coverage": f"""WITH RECURSIVE {_GREEDY} SELECT rec, count(*) AS parts, CAST(sum(b - a) AS BIGINT) AS covered, max(samples) AS samples, CAST(0 AS BIGINT) AS violations FROM plan GROUP BY rec""",
-    "energy_cut": f"""WITH {_FRAMES}, f AS (SELECT rec, frame_idx, CAST(floor(probability * 1000) AS BIGINT) AS x FROM frames),
-      e AS (SELECT rec, frame_idx, CAST(sum(x) OVER w AS BIGINT) AS e, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY rec ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING)),
-      m AS (SELECT rec, e AS energy, frame_idx AS first FROM e WHERE n = 32 QUALIFY row_number() OVER (PARTITION BY rec ORDER BY e, frame_idx) = 1)
-      SELECT m.rec, energy, first, f.frame_idx AS cut FROM m JOIN f ON f.rec = m.rec AND f.frame_idx BETWEEN first AND first + 31 QUALIFY row_number() OVER (PARTITION BY m.rec ORDER BY f.x, f.frame_idx) = 1""",
+    "greedy_partition_signal": f"""WITH RECURSIVE {_FRAMES4}, {_SIGNAL}, lo AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY rec ORDER BY frame_idx) AS run FROM frames WHERE probability < 0.35),
+      pr AS (SELECT rec, min(frame_idx) * 4 AS a, max(frame_idx) * 4 + 4 AS b FROM lo GROUP BY rec, run), inner_ AS (SELECT pr.*, row_number() OVER (PARTITION BY pr.rec ORDER BY a) - 1 AS id FROM pr JOIN totals USING (rec) WHERE a > 0 AND b < samples),
+      mids AS (SELECT rec, (a + b) // 2 AS m FROM inner_ WHERE id % 3 = 0), {_greedy(44, 22, 11, _QUIET, "forced_low_energy_no_vad_pause")}
+      SELECT rec, CAST(part AS BIGINT) AS part, a, b, boundary FROM plan""",
+    "energy_partition": f"""WITH RECURSIVE {_FRAMES4}, {_SIGNAL}, mids AS (SELECT rec, CAST(NULL AS BIGINT) AS m FROM totals), {_greedy(44, 22, 11, _QUIET, "minimum_window_then_sample")}
+      SELECT rec, CAST(part AS BIGINT) AS part, a, b, boundary FROM plan""",
     "speaker_coalesce": f"""WITH {_GROUPS} SELECT rec, spk, grp, min(a) AS a, max(b) AS b, count(*) AS n FROM mem GROUP BY rec, spk, grp""",
     "activity_candidates": f"""WITH {_GROUPS} SELECT * FROM grps""",
     "unresolved_events": f"""WITH {_GROUPS} SELECT m.rec, m.id, m.spk, m.a, m.b FROM mem m JOIN grps g USING (rec, spk, grp) WHERE g.activity = 'unresolved'""",
-    "uncertain_boundaries": f"""WITH {_GROUPS}, ends AS (SELECT rec, spk, grp, 'start' AS side, a AS "at" FROM grps UNION ALL SELECT rec, spk, grp, 'end', b FROM grps)
-      SELECT e.rec, e.spk, e.grp, side, "at", min(o.a) AS "from", max(o.b) AS "until", count(*) AS n, string_agg(DISTINCT o.spk, ',' ORDER BY o.spk) AS speakers
+    "uncertain_boundaries": f"""WITH {_GROUPS}, ends AS (SELECT rec, spk, grp, a, b, 'start' AS side, a AS "at" FROM grps WHERE activity <> 'unresolved' UNION ALL SELECT rec, spk, grp, a, b, 'end', b FROM grps WHERE activity <> 'unresolved')
+      SELECT e.rec, e.spk, e.grp, side, "at", min(greatest(e.a, o.a)) AS "from", max(least(e.b, o.b)) AS "until", count(*) AS n, string_agg(DISTINCT o.spk, ',' ORDER BY o.spk) AS speakers
       FROM ends e JOIN act o ON o.rec = e.rec AND o.spk <> e.spk AND o.a < "at" AND "at" < o.b GROUP BY e.rec, e.spk, e.grp, side, "at" """,
     "major_turns": f"WITH {_TURNS} SELECT * FROM turns",
     "turn_transitions": f"WITH {_TURNS} SELECT * FROM trans",
@@ -154,7 +160,7 @@ ORACLES: dict[str, str] = {
     "monotonic_check": f"""WITH {_TIMED}, p AS (SELECT rec, a < lag(a) OVER w OR b < lag(b) OVER w AS down FROM timed WINDOW w AS (PARTITION BY rec ORDER BY part))
       SELECT rec, count(*) AS n, NOT coalesce(bool_or(down), false) AS monotonic FROM p GROUP BY rec""",
     "repair_gate": f"WITH {_PARTS} SELECT rec, count(*) AS n, count(*) FILTER (repaired) AS repaired, count(*) FILTER (repaired) / count(*) > 0.1 AS gated FROM parts GROUP BY rec",
-    "compose_offsets": f"WITH {_COMPOSE} SELECT rec, index, part, idx, a, b, xa, xb, concat_ws(',', CASE WHEN gated THEN 'alignment_chunk_repair_gate' END, CASE WHEN seam THEN 'alignment_chunk_seam' END) AS flags FROM comp",
+    "compose_offsets": f"WITH {_COMPOSE} SELECT rec, index, part, idx, a, b, xa, xb, concat_ws(',', CASE WHEN repaired THEN 'timestamp_repaired_by_library' END, CASE WHEN seam THEN 'alignment_chunk_edge' END, CASE WHEN gated THEN 'alignment_chunk_repair_gate' END) AS flags, NOT (repaired OR seam OR gated) AS eligible FROM comp",
     "seam_tokens": f"WITH {_COMPOSE} SELECT rec, index, part FROM comp WHERE seam",
     "midpoint_filter": f"WITH {_UNITS} SELECT rec, unit_index, spk, timed, timed AND coalesce((s + e) / 2 >= 20000 AND (s + e) / 2 < 60000, false) AS kept FROM unt",
     "unit_envelope": f"""WITH {_UNITS}, o AS (SELECT *, CAST(sum(length(spk)) OVER w - length(spk) AS BIGINT) AS xa, CAST(sum(length(spk)) OVER w AS BIGINT) AS xb FROM unt WINDOW w AS (PARTITION BY rec ORDER BY unit_index ROWS UNBOUNDED PRECEDING)),
@@ -171,6 +177,15 @@ ORACLES: dict[str, str] = {
     "inverse_links": f"WITH {_LINKS} SELECT d.rec, d.diff, coalesce(string_agg(l.id, ',' ORDER BY l.id), '') AS ids FROM diffs d LEFT JOIN links l USING (rec, diff) GROUP BY d.rec, d.diff",
     "review_apply": f"WITH {_REVIEW} SELECT * FROM app",
     "review_ready": f"""WITH {_REVIEW} SELECT rec, count(*) AS "rows", count(*) FILTER (ready_anonymous) AS ready, bool_and(ready_anonymous) AS all_anonymous, bool_and(ready_attributed) AS all_attributed FROM app GROUP BY rec""",
+    "review_violations": f"""WITH {_ROWS}, lab AS (SELECT doc_id, doc_id % 20 AS rec, CASE quality WHEN 1 THEN 'pass' WHEN 0 THEN 'fail' ELSE 'review_required' END AS content,
+        CASE toxic WHEN 0 THEN 'pass' WHEN 1 THEN 'not_applicable' ELSE 'review_required' END AS speaker, CASE WHEN doc_id % 13 = 5 THEN 'perhaps' ELSE 'pass' END AS boundary,
+        doc_id % 4 = 0 AS silent, doc_id % 9 = 1 AS blank, CASE doc_id % 10 WHEN 3 THEN 'nobody' WHEN 4 THEN '' ELSE 'own' END AS said, CASE WHEN doc_id % 7 = 2 THEN -1 END AS c_end FROM labels),
+      m AS (SELECT l.*, r.id, r.a, r.b, coalesce(c_end, r.b) AS e, length(trim(r.text)) = 0 AS bare FROM lab l JOIN trows r ON r.rec = l.rec AND r.id = l.doc_id),
+      h AS (SELECT *, a // 50000 * 50000 + 45000 AS upto FROM m),
+      p AS (SELECT rec, id, unnest([CASE WHEN boundary = 'perhaps' THEN 'invalid_status' END, CASE WHEN silent AND (content = 'fail' OR speaker = 'not_applicable') THEN 'note_required' END,
+        CASE WHEN a >= b OR a >= e THEN 'invalid_interval' END, CASE WHEN said = 'nobody' THEN 'invalid_speakers' END, CASE WHEN b > upto OR e > upto OR a > upto THEN 'not_listened_to' END,
+        CASE WHEN speaker = 'pass' AND said = '' THEN 'speaker_required' END, CASE WHEN content = 'pass' AND (blank OR (bare AND NOT blank)) THEN 'text_required' END]) AS problem FROM h)
+      SELECT rec, id, problem FROM p WHERE problem IS NOT NULL UNION ALL SELECT rec, doc_id, 'unknown_row' FROM lab WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
     "review_unknown_ids": "SELECT doc_id % 20 AS rec, doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE length(text) >= 1000)",
     "quality_indicators": """WITH s AS (SELECT DISTINCT source FROM documents), l AS (SELECT unnest(['en', 'fr', 'de', 'es', 'unknown']) AS value)
       SELECT s.source, l.value, count(d.doc_id) AS n FROM s CROSS JOIN l LEFT JOIN documents d ON d.source = s.source AND d.lang = l.value GROUP BY s.source, l.value""",

@@ -40,7 +40,7 @@ def _views_and_purchases(spark, d):
 @query
 def uncovered_seconds(spark, d):
     mine, others = _views_and_purchases(spark, d)
-    return iv.uncovered(mine, ["rec"], "id", others).select("rec", "id", F.col("uncovered").cast("long").alias("uncovered"))
+    return iv.uncovered(mine, ["rec"], "id", others, v.BUCKET).select("rec", "id", F.col("uncovered").cast("long").alias("uncovered"))
 
 
 @query
@@ -96,17 +96,26 @@ def pause_partition_coverage(spark, d):
     )
 
 
+def _signals(spark, d):
+    """(rec, pcm): four samples to a frame, whole numbers."""
+    x = v.frames(spark, d).select("rec", "frame_idx", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), F.floor(F.col("probability") * 1000).cast("long").alias("p"))
+    one = F.struct((F.col("frame_idx") * 4 + F.col("k")).alias("i"), (F.col("p") * 4 + F.col("k") * 3 % 4).cast("float").alias("x"))
+    lists = x.groupBy("rec").agg(F.transform(F.sort_array(F.collect_list(one)), lambda s: s["x"]).alias("x"))
+    return lists.select("rec", src.float_bytes(F.col("x")).alias("pcm"))
+
+
 @query
-def energy_cut(spark, d):
-    """The quietest window of 32 frames of each user, then its least sample,
-    by prefix sums of integer amplitudes."""
-    f = v.frames(spark, d).select("rec", "frame_idx", F.floor(F.col("probability") * 1000).alias("x"))
-    w = Window.partitionBy("rec").orderBy("frame_idx")
-    p = f.withColumn("s", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    p = p.withColumn("e", F.lead("s", 31).over(w) - F.col("s") + F.col("x"))
-    best = p.where("e IS NOT NULL").groupBy("rec").agg(F.min(F.struct("e", "frame_idx")).alias("m")).select("rec", F.col("m.e").alias("energy"), F.col("m.frame_idx").alias("first"))
-    inner = f.join(best, "rec").where("frame_idx >= first AND frame_idx < first + 32")
-    return inner.groupBy("rec", "energy", "first").agg(F.min(F.struct("x", "frame_idx")).alias("m")).select("rec", "energy", "first", F.col("m.frame_idx").alias("cut"))
+def greedy_partition_signal(spark, d):
+    """Every third pause, and the quietest place where there is none."""
+    f = v.frames(spark, d).withColumns({"start_sample": F.col("frame_idx") * 4, "end_sample": F.col("frame_idx") * 4 + 4})
+    pauses = se.pause_runs(f, v.totals(f), 4).where("NOT edge AND id % 3 = 0")
+    plan = partition.partition_at_pauses(pauses, v.totals(f), 4, 11, _signals(spark, d))
+    return plan.select("rec", F.col("part").cast("long").alias("part"), "a", "b", "boundary")
+
+
+@query
+def energy_partition(spark, d):
+    return partition.partition_by_energy(_signals(spark, d), 4, 11).select("rec", F.col("part").cast("long").alias("part"), "a", "b", "boundary")
 
 
 # --- activity ----------------------------------------------------------------------
@@ -157,7 +166,7 @@ def turn_transitions(spark, d):
 def _snapped(spark, d):
     change = se.transitions(_turns(spark, d), "rec", "spk")
     marks = v.turns(spark, d).where("spk = 'purchase'").select("rec", F.col("id").alias("mark"), F.col("at").alias("mark_at"))
-    return joins.nearest_join(change, marks, ["rec"], ["id"], "at", "mark_at", 86_400, ["mark_at", "mark"])
+    return joins.nearest_join(change, marks, ["rec"], "at", "mark_at", 86_400, ["mark_at", "mark"])
 
 
 @query
@@ -281,30 +290,44 @@ def _composed(spark, d):
     number = (F.row_number().over(Window.partitionBy("rec").orderBy("key")) - 1).cast("int")
     o = o.withColumn("part", number)
     li = v.parts(spark, d).select(F.col("rec").alias("key"), F.col("part").cast("int").alias("idx"), F.col("len"), "repaired")
-    items = li.join(o, "key").select("rec", "part", "idx", F.col("idx").cast("double").alias("a"), (F.col("idx") + 0.5).alias("b"), F.col("idx").alias("xa"), (F.col("idx") + 1).alias("xb"), "repaired")
+    flags = F.when(F.col("repaired"), F.array(F.lit("timestamp_repaired_by_library"))).otherwise(F.array().cast("array<string>"))
+    items = li.join(o, "key").select("rec", "part", "idx", F.col("idx").cast("double").alias("a"), (F.col("idx") + 0.5).alias("b"), F.col("idx").alias("xa"), (F.col("idx") + 1).alias("xb"), "repaired", flags.alias("flags"), (~F.col("repaired")).alias("eligible"))
     parts = o.select("rec", "part", "text", (F.col("part") * 10).cast("double").alias("start"), F.lit(10.0).alias("duration"))
     return align.compose(parts, items)
 
 
 @query
 def compose_offsets(spark, d):
-    return _composed(spark, d).select("rec", F.col("index").cast("long").alias("index"), "part", "idx", "a", "b", "xa", "xb", F.array_join("flags", ",").alias("flags"))
+    return _composed(spark, d).select("rec", F.col("index").cast("long").alias("index"), "part", "idx", "a", "b", "xa", "xb", F.array_join("flags", ",").alias("flags"), "eligible")
 
 
 @query
 def seam_tokens(spark, d):
-    return _composed(spark, d).where(F.array_contains("flags", "alignment_chunk_seam")).select("rec", F.col("index").cast("long").alias("index"), "part")
+    return _composed(spark, d).where(F.array_contains("flags", align.EDGE)).select("rec", F.col("index").cast("long").alias("index"), "part")
+
+
+def _cut_words(spark, d):
+    c = v.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("rec"), "text")
+    bare = F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}']+", " "), " "), lambda w: F.length(w) > 0)
+    cut = F.transform(bare, lambda w, i: F.when((i % 5 == 4) & (F.length(w) > 1), F.left(w, F.length(w) - 1)).otherwise(w))
+    return c.withColumn("words", cut)
 
 
 @query
 def token_map(spark, d):
     """Conversation texts against their words, every fifth of which lost its
     last letter."""
-    c = v.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("rec"), "text")
-    bare = F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}']+", " "), " "), lambda w: F.length(w) > 0)
-    cut = F.transform(bare, lambda w, i: F.when((i % 5 == 4) & (F.length(w) > 1), F.left(w, F.length(w) - 1)).otherwise(w))
-    out = align.token_map(c.withColumn("words", cut))
-    return out.select("rec", "idx", "token", "status", "mapped", "raw_a", "raw_b")
+    return align.token_map(_cut_words(spark, d)).select("rec", "idx", "token", "status", "mapped", "raw_a", "raw_b")
+
+
+@query
+def token_coverage(spark, d):
+    return align.token_coverage(_cut_words(spark, d))
+
+
+@query
+def token_pieces(spark, d):
+    return align.token_map(_cut_words(spark, d), pieces=True).select("rec", "pos", "a", "b", "piece", "kind", "idx")
 
 
 # --- comparison and review --------------------------------------------------
@@ -398,6 +421,21 @@ def review_ready(spark, d):
     return rv.document_ready(_applied(spark, d))
 
 
+@query
+def review_violations(spark, d):
+    """Notes, corrections and extents that break a rule here and there."""
+    r = v.rows(spark, d)
+    i = F.col("id")
+    names = F.when(i % 10 == 3, F.array(F.lit("nobody"))).when(i % 10 == 4, F.array().cast("array<string>"))
+    changed = v.reviews(spark, d).withColumns({
+        "note": F.when(i % 4 == 0, " ").otherwise("heard"), "speakers": names, "text": F.when(i % 9 == 1, "  "), "boundary": F.when(i % 13 == 5, "perhaps").otherwise("pass"), "end": F.when(i % 7 == 2, -1.0),
+    })
+    spans = r.groupBy("rec").agg(F.max("b").alias("n"))
+    listened = spans.select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("n DIV 50000"))).alias("k")).select("rec", (F.col("k") * 50_000).cast("double").alias("a"), (F.col("k") * 50_000 + 45_000).cast("double").alias("b"))
+    known = v.table(spark, d, "documents").select((F.col("doc_id") % 20).alias("rec"), F.col("source").alias("spk")).distinct()
+    return rv.review_violations(r.drop("a", "b"), changed, listened, known)
+
+
 @query
 def review_unknown_ids(spark, d):
     some = v.rows(spark, d).where(F.length("text") >= 1000)
@@ -443,6 +481,13 @@ def fingerprint_inventory(spark, d):
     return _assets(spark, d).select("path", "bytes", "sha256")
 
 
+@query
+def scanned_inventory(spark, d):
+    """The files of two tables as they lie on disk."""
+    found = va.inventory(spark, f"{d}/region.parquet").union(va.inventory(spark, f"{d}/nation.parquet"))
+    return found.select(F.regexp_extract("path", r"([a-z]+)\.parquet", 1).alias("name"), "bytes", "sha256")
+
+
 @query
 def manifest_diff(spark, d):
     a = _assets(spark, d)

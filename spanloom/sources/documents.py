@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 FRAMES = "file string, sha256 string, sample_count long, sample_rate int, frames array<struct<start_sample:long,end_sample:long,probability:double>>"
@@ -43,6 +45,16 @@ def encode_number(x: Column) -> Column:
     return F.when(F.isnan(x), '"nan"').when(x == float("inf"), '"inf"').when(x == float("-inf"), '"-inf"').otherwise(F.to_json(F.struct(x.alias("v"))).substr(6, 64))
 
 
+def float_bytes(values: Column) -> Column:
+    """Little-endian 32-bit floats of an array of numbers."""
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda a: np.asarray(a, "<f4").tobytes())
+
+    return run(values)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines to a new place; null fields are left out."""
     df.write.mode("errorifexists").option("ignoreNullFields", True).json(path)

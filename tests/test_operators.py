@@ -149,7 +149,7 @@ def test_asof_and_nearest(spark):
     right = spark.createDataFrame([("k", "a", 5.0), ("k", "b", 9.0)], "k string, n string, u double")
     back = {r["i"]: r["n"] for r in joins.asof_join(left, right, ["k"], "t", "u").collect()}
     ahead = {r["i"]: r["n"] for r in joins.asof_join(left, right, ["k"], "t", "u", "forward").collect()}
-    near = {r["i"]: r["n"] for r in joins.nearest_join(left, right, ["k"], ["i"], "t", "u", 3.0, ["u"]).collect()}
+    near = {r["i"]: r["n"] for r in joins.nearest_join(left, right, ["k"], "t", "u", 3.0, ["u"]).collect()}
     assert back == {0: None, 1: "a", 2: "a", 3: "b"}
     assert ahead == {0: "a", 1: "a", 2: "b", 3: None}
     assert near == {0: None, 1: "a", 2: "a", 3: "b"}
@@ -171,28 +171,6 @@ def test_stamps(spark):
     assert df.select(tx.short_stamp(F.col("s"))).collect()[2][0] == "[62:03]"
 
 
-@pytest.mark.parametrize(
-    "text,tokens,status,spans",
-    [
-        ("あああ", ["ああ"], ["repeated_partial_match_ambiguous"], [[]]),
-        ("はいはい", ["はい"], ["repeated_partial_match_ambiguous"], [[]]),
-        ("🎧深津さん。", ["余分", "深津", "さん"], ["tokenizer_text_changed_or_unmatched"] + ["exact_characters_after_processor_filter"] * 2, [[], [(1, 3)], [(3, 5)]]),
-        ("比率は-3.5%です", ["比率", "は", "35", "です"], ["exact_characters_after_processor_filter"] * 4, [[(0, 2)], [(2, 3)], [(4, 5), (6, 7)], [(8, 10)]]),
-    ],
-)
-def test_token_map(text, tokens, status, spans):
-    rows, pieces = align.map_words(text, tokens)
-    assert [r["status"] for r in rows] == status
-    assert [r["spans"] for r in rows] == spans
-    assert "".join(p["piece"] for p in pieces) == text
-
-
-def test_token_map_frame(spark):
-    df = spark.createDataFrame([("r", "はい、どうも", ["はい", "どうも"])], "rec string, text string, words array<string>")
-    assert [(r["raw_a"], r["raw_b"]) for r in align.token_map(df).orderBy("idx").collect()] == [(0, 2), (3, 6)]
-    assert [r["kind"] for r in align.token_map(df, pieces=True).orderBy("pos").collect()] == ["mapped_lexical_characters", "untimed_punctuation", "mapped_lexical_characters"]
-
-
 def test_time_flags(spark):
     ms = [(0, 0), (800, 1200), (400, 600), (float("nan"), 800)]
     t = spark.createDataFrame([("r", i, a / 1000, b / 1000) for i, (a, b) in enumerate(ms)], "rec string, idx long, a double, b double")
@@ -209,29 +187,42 @@ def test_compose_seams(spark):
     parts = spark.createDataFrame([("r", 0, "abc", 100.0, 3.0), ("r", 1, "def", 103.0, 3.0)], "rec string, part int, text string, start double, duration double")
     items = spark.createDataFrame([("r", p, i, float(i), i + 1.0, i, i + 1, False) for p in (0, 1) for i in range(3)], "rec string, part int, idx int, a double, b double, xa int, xb int, repaired boolean")
     got = align.compose(parts, items).orderBy("index").collect()
-    assert [r["index"] for r in got if "alignment_chunk_seam" in r["flags"]] == [2, 3]
+    assert [r["index"] for r in got if "alignment_chunk_edge" in r["flags"]] == [2, 3]
+    assert [r["index"] for r in got if not r["eligible"]] == [2, 3]
     assert (got[3]["a"], got[3]["xa"]) == (103.0, 4)
 
 
-def one_unit_each(text, at=0.0):
-    return [(c, at + i, at + i + 1) for i, c in enumerate(text)]
-
-
-def test_audit_scenarios():
-    d = [r for r in audit.compare(one_unit_each("甲乙丙", 10), "甲丁丙", []) if r["kind"] == "difference"]
-    assert [(r["start"], r["end"], r["ref_span"]) for r in d] == [(11, 12, (1, 2))]
-    d = [r for r in audit.compare(one_unit_each("甲丙", 10), "甲乙丙", []) if r["kind"] == "difference"]
-    assert d[0]["start"] is None
-    same = audit.compare(one_unit_each("ＡＢＣ１２３"), "ABC123", [])
-    assert [r["kind"] for r in same] == ["anchor"]
-    twice = audit.compare(one_unit_each("こんにちはこんにちは"), "こんにちは", [])
-    assert not [r for r in twice if r["kind"] == "anchor"]
-    for a, b in (("3.5", "35"), ("-3", "3"), ("30%", "30")):
-        signals = [s for r in audit.compare(one_unit_each(a), b, []) for s in r["signals"]]
-        assert "number_or_numeric_character_difference" in signals
-    for own, ref, flagged in ((21, 5, True), (20, 5, False), (21, 6, False)):
-        rows = audit.compare(one_unit_each("前" * 4 + "乙" * ref), "前" * 4 + "".join(chr(0x4E00 + 3 * i) for i in range(own)), [])
-        assert any("potential_substantive_omission" in r["signals"] for r in rows) == flagged
+def test_compose_appends_to_the_flags_of_items(spark):
+    parts = spark.createDataFrame([("r", p, "abc", 3.0 * p, 3.0) for p in (0, 1)], "rec string, part int, text string, start double, duration double")
+    rows = [("r", p, i, float(i), i + 1.0, i, i + 1, p == 1 and i == 0, ["own"] if i == 2 else ["alignment_chunk_edge"] if i == 0 else None, i != 1) for p in (0, 1) for i in range(3)]
+    items = spark.createDataFrame(rows, "rec string, part int, idx int, a double, b double, xa int, xb int, repaired boolean, flags array<string>, eligible boolean")
+    got = align.compose(parts, items).orderBy("index").collect()
+    gate = "alignment_chunk_repair_gate"
+    assert [r["flags"] for r in got] == [["alignment_chunk_edge"], [], ["own", "alignment_chunk_edge"], ["alignment_chunk_edge", gate], [gate], ["own", gate]]
+    assert [r["eligible"] for r in got] == [True, False, False, False, False, False]
+
+
+def test_composition_violations(spark):
+    text = "rec string, part int, text string, start double, end double, duration double, offset double"
+    good = [("ok", 0, "abc", 0.0, 2.0, 2.0, 10.0), ("ok", 1, "de", 2.0, 5.0, 3.0, 12.0)]
+    bad = [("gap", 0, "abc", 0.0, 2.0, 2.0, 10.0), ("gap", 1, "de", 2.1, 5.0, 2.9, 12.1), ("short", 0, "x", 0.0, 4.0, 3.0, 10.0), ("off", 0, None, 0.0, 5.0, 5.0, float("nan"))]
+    items = [("ok", 0, 0, [(0, 1), (2, 3)], False), ("ok", 0, 1, [], True), ("ok", 1, 0, [(0, 2)], False), ("gap", 0, 0, [(1, 2)], None), ("gap", 0, 1, [(0, 1)], False), ("gap", 1, 1, [(0, 3)], False)]
+    totals = spark.createDataFrame([(r, 10.0, 5.0) for r in ("ok", "gap", "short", "off")], "rec string, offset double, duration double")
+    got = align.composition_violations(spark.createDataFrame(good + bad, text), spark.createDataFrame(items, "rec string, part int, idx int, spans array<struct<a:int,b:int>>, repaired boolean"), totals)
+    assert sorted(map(tuple, got.collect())) == [
+        ("gap", 0, "missing_repair_flag"), ("gap", 0, "spans_not_ordered"), ("gap", 1, "extent_not_contiguous"), ("gap", 1, "indices_not_ordered"), ("gap", 1, "spans_not_ordered"),
+        ("off", 0, "missing_text"), ("off", 0, "offset_differs_from_start"), ("short", 0, "duration_differs_from_extent"), ("short", 0, "last_part_ends_early"),
+    ]
+
+
+def test_zip_tokens(spark):
+    schema = "rec string, words array<string>, raw array<double>, repaired array<struct<text:string,start:double,end:double>>"
+    one = ("r", ["no", "yes"], [100.0, 200.0, 300.0, 250.0], [("no", 100.0, 200.0), ("yes", 250.0, 300.0)])
+    got = align.zip_tokens(spark.createDataFrame([one], schema)).orderBy("idx").collect()
+    assert [tuple(r)[1:] for r in got] == [(0, "no", 0.1, 0.2, 0.1, 0.2), (1, "yes", 0.3, 0.25, 0.25, 0.3)]
+    for row in (one[:2] + (one[2][:3], one[3]), one[:3] + (one[3][:1],), one[:3] + ([("no", 1.0, 2.0), ("maybe", 1.0, 2.0)],)):
+        with pytest.raises(Exception, match="expected|changed"):
+            align.zip_tokens(spark.createDataFrame([row], schema)).collect()
 
 
 def test_difference_links(spark):
