@@ -149,10 +149,14 @@ def attribute(texts: DataFrame, tokens: DataFrame, events: DataFrame, regions: D
     s = materialize(s.drop("held"))
 
     # the last applicable change decides; one inside makes the row unsafe
-    # resolved ones apply in text, the others in time, and both in order
-    last = F.max(F.struct(F.col("id").alias("move"), "to_speaker"))
-    cuts = moves.where("resolved").groupBy("rec", F.col("cut").alias("m_cut")).agg(last.alias("by_cut"))
-    times = moves.where("NOT resolved").groupBy("rec", F.col("at").alias("m_at")).agg(last.alias("by_time"))
+    # resolved ones apply in text, the others in time
+    def latest(df: DataFrame, at: str, place: str, name: str) -> DataFrame:
+        """(rec, place, name): the latest move among those up to each place."""
+        each = df.groupBy("rec", F.col(at).alias(place)).agg(F.max(F.struct(F.col("id").alias("move"), "to_speaker")).alias("_m"))
+        upto = Window.partitionBy("rec").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+        return each.select("rec", place, F.max("_m").over(upto).alias(name))
+
+    cuts, times = latest(moves.where("resolved"), "cut", "m_cut", "by_cut"), latest(moves.where("NOT resolved"), "at", "m_at", "by_time")
     s = joins.asof_join(joins.asof_join(s, cuts, ["rec"], "a", "m_cut"), times, ["rec"], "start", "m_at").drop("m_cut", "m_at")
     s = s.withColumn("main", F.coalesce(F.greatest("by_cut", "by_time")["to_speaker"], "first_speaker")).drop("by_cut", "by_time")
     point = lambda df, c: df.select("rec", F.col(c).alias("_p"), F.col(c).alias("_q"))
