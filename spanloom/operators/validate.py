@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanloom.functions.text import canonical, digest
@@ -11,12 +13,12 @@ from spanloom.operators.scratch import materialize
 LONGER_SLACK = 1e-7
 
 
-def first_failure(checks: list[tuple[str, DataFrame]]) -> tuple[list[tuple[str, str]], str | None]:
-    """Run named violation queries in order up to the first that has rows:
-    the (name, status) of those that ran, and the name of the failure."""
+def first_failure(checks: list[tuple[str, DataFrame | Callable[[], DataFrame]]]) -> tuple[list[tuple[str, str]], str | None]:
+    """Run named violation queries (or functions that give one) in order up to
+    the first that has rows: the (name, status) of those that ran, and the name of the failure."""
     done: list[tuple[str, str]] = []
     for name, bad in checks:
-        if bad.limit(1).count():
+        if (bad() if callable(bad) else bad).limit(1).count():
             return [*done, (name, "failed")], name
         done.append((name, "passed"))
     return done, None

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanloom.operators import audit as au, partition, review as rv, sessionize, turns, validate as va
 from spanloom.operators.intervals import is_finite
 from spanloom.operators.scratch import materialize
-from spanloom.sources import documents
+from spanloom.sources import documents, wav
 
 STATES = ["single", "mixed", "unknown"]
 TIME_KINDS = ["forced_alignment_token_envelope", "source_chunk_envelope_fallback", "source_clip_envelope_fallback"]
@@ -109,14 +112,50 @@ def indicators(doc: Document) -> DataFrame:
 
 def save(doc: Document, path: str) -> None:
     """Write segments, differences and readable text to a new place; nothing
-    is written if a check fails."""
+    is written if a check fails.  Files hold ranges of recordings in order."""
     _, failed = validate(doc)
     if failed:
         raise ValueError(f"not saved: {failed} failed")
     segments, differences = source_material(doc)
-    documents.write_json(segments.orderBy("rec", "a").coalesce(1), f"{path}/segments.jsonl")
-    documents.write_json(differences.orderBy("rec", "diff").coalesce(1), f"{path}/differences.jsonl")
-    documents.write_text(rv.render(doc.rows), "body", f"{path}/transcript.txt")
+    for df, order, name in ((segments, "a", "segments"), (differences, "diff", "differences")):
+        documents.write_json(df.repartitionByRange("rec").sortWithinPartitions("rec", order), f"{path}/{name}.jsonl")
+    text = rv.render(doc.rows)
+    documents.write_text(text, "body", f"{path}/transcript.txt")
+    documents.write_text(markdown(text), "body", f"{path}/transcript.md")
+
+
+def markdown(rendered: DataFrame, title: str = "Unverified transcript") -> DataFrame:
+    """(rec, body) of rendered texts under a heading and a caution."""
+    head = F.lit(f"# {title}\n\nSpeakers, boundaries and words are candidates and need review.\n\n")
+    return rendered.select("rec", F.concat(head, F.regexp_replace("body", "\n", "\n\n"), F.lit("\n")).alias("body"))
+
+
+def read_segments(spark: SparkSession, path: str, doc: Document) -> tuple[DataFrame, DataFrame]:
+    """The segments and differences of a saved bundle, with the types of ``doc``."""
+    segments, differences = source_material(doc)
+    read = lambda df, name: documents.read_lines(spark, f"{path}/{name}.jsonl", df.schema)
+    return read(segments, "segments"), read(differences, "differences")
+
+
+def save_review(applied: DataFrame, reviews: DataFrame, doc: Document, path: str) -> None:
+    """Four outputs of a review in a new place: all rows, those ready for
+    anonymous use, the review as it came, and what was applied to what."""
+    documents.write_json(applied.repartitionByRange("rec").sortWithinPartitions("rec", "a"), f"{path}/reviewed.jsonl")
+    documents.write_json(applied.where("ready_anonymous").repartitionByRange("rec").sortWithinPartitions("rec", "a"), f"{path}/ready.jsonl")
+    documents.write_json(reviews, f"{path}/review.jsonl")
+    counts = rv.document_ready(applied).join(applied.groupBy("rec").agg(F.count_if("ready_attributed").alias("ready_attributed")), "rec")
+    documents.write_json(artifact_ids(doc).withColumnRenamed("artifact_id", "source_artifact_id").join(counts, "rec"), f"{path}/application.json")
+
+
+def save_plan(spark: SparkSession, plan: DataFrame, signals: DataFrame, rate: int, path: str) -> None:
+    """A chunk plan (rec, part, a, b, boundary) with one wave file to a chunk of
+    (rec, pcm), and the list of these files, all in a new place."""
+    name = F.format_string("%s-%03d", F.col("rec").cast("string"), F.col("part"))
+    cut = F.expr("substring(pcm, int(a * 4 + 1), int((b - a) * 4))")
+    named = plan.withColumn("name", name)
+    documents.write_json(named.withColumn("file", F.concat("name", F.lit(".wav"))).drop("name"), f"{path}/plan.jsonl")
+    wav.write(named.join(signals, "rec").select("name", F.lit(rate).alias("rate"), cut.alias("pcm")), f"{path}/chunks")
+    documents.write_text(named.repartitionByRange("rec").sortWithinPartitions("rec", "part").select(F.concat("name", F.lit(".wav")).alias("value")), "value", f"{path}/files.txt")
 
 
 def chunk_plan(frames: DataFrame, rate: int, max_seconds: float = partition.MAX_SECONDS, signals: DataFrame | None = None) -> DataFrame:
@@ -127,17 +166,95 @@ def chunk_plan(frames: DataFrame, rate: int, max_seconds: float = partition.MAX_
     return partition.partition_at_pauses(pauses, totals, rate, max_seconds, signals)
 
 
-def run_pipeline(spark: SparkSession, texts: DataFrame, tokens: DataFrame, events: DataFrame, readings: DataFrame | None = None, regions: DataFrame | None = None, path: str | None = None) -> Document:
-    """Assemble, validate and, with a path, save."""
-    doc = make_document(texts, tokens, events, readings, regions)
-    _, failed = validate(doc)
-    if failed:
-        raise ValueError(f"{failed} failed")
+def run_pipeline(spark: SparkSession, texts: DataFrame, tokens: DataFrame, events: DataFrame, readings: DataFrame | None = None, regions: DataFrame | None = None, path: str | None = None, log: StageLog | None = None) -> Document:
+    """Assemble, validate and, with a path, save; stages go to ``log``."""
+    log = log or StageLog([])
+    with log.stage("assemble"):
+        doc = make_document(texts, tokens, events, readings, regions)
+    with log.stage("validate"):
+        _, failed = validate(doc)
+        if failed:
+            raise ValueError(f"{failed} failed")
     if path:
-        save(doc, path)
+        with log.stage("save"):
+            save(doc, path)
     return doc
 
 
+def settings_identity(settings: DataFrame, assets: DataFrame) -> DataFrame:
+    """(key, artifact_id): digest of named settings (key, name, value) and the
+    assets (key, path, bytes, sha256) that a result depends on, in order."""
+    a = settings.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("settings"))
+    b = assets.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256"))).alias("assets"))
+    return va.identities(a.join(b, "key", "full"), "key", ["settings", "assets"])
+
+
+POINTER = "key string, attempt string, files array<struct<path:string,bytes:bigint,sha256:string>>"
+
+
+def complete(spark: SparkSession, directory: str, key: str, attempt: str) -> None:
+    """Point ``directory`` to a finished attempt, a folder inside it: its cache
+    key and the fingerprints of all its files.  The pointer is put in place last
+    and at once."""
+    files = relative_inventory(spark, f"{directory}/{attempt}").agg(F.array_sort(F.collect_list(F.struct("path", "bytes", "sha256"))).alias("files"))
+    one = files.select(F.lit(key).alias("key"), F.lit(attempt).alias("attempt"), "files")
+    documents.replace_path(spark, f"{directory}/completed", lambda at: one.write.json(at))
+
+
+def relative_inventory(spark: SparkSession, directory: str) -> DataFrame:
+    """(path, bytes, sha256) with paths from the directory on; a path that is
+    not below it stays whole, and so matches nothing recorded."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    base, path = plain(F.lit(root.rstrip("/") + "/")), plain(F.col("path"))
+    inside = F.substr(path, F.length(base) + 1)
+    return va.inventory(spark, directory).withColumn("path", F.when(path.startswith(base), inside).otherwise(path))
+
+
+def completed_attempt(spark: SparkSession, directory: str, key: str) -> str | None:
+    """The folder of the attempt that ``complete`` pointed to, if its key is the
+    same, it lies in the directory and no file of it changed; else none."""
+    try:
+        pointer = spark.read.schema(POINTER).json(f"{directory}/completed").first()
+    except AnalysisException:
+        return None
+    if pointer is None or pointer["key"] != key or not pointer["attempt"] or "/" in pointer["attempt"] or pointer["attempt"] in (".", "..") or not pointer["files"]:
+        return None
+    where = f"{directory}/{pointer['attempt']}"
+    recorded = spark.createDataFrame(pointer["files"], "path string, bytes long, sha256 string")
+    try:
+        same = va.valid_cache(recorded, relative_inventory(spark, where)).limit(1).count() == 0
+    except AnalysisException:
+        return None
+    return where if same else None
+
+
+@dataclass
+class StageLog:
+    """Stages of a run with their status and seconds, on the driver."""
+
+    stages: list[dict]
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[dict]:
+        row = {"name": name, "status": "running"}
+        self.stages.append(row)
+        began = time.perf_counter()
+        try:
+            yield row
+            row["status"] = "complete"
+        except BaseException as error:
+            row.update(status="failed", error=f"{type(error).__name__}: {error}"[:500])
+            raise
+        finally:
+            row["seconds"] = time.perf_counter() - began
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(s["name"], s["status"], s.get("seconds"), s.get("error")) for s in self.stages]
+        return spark.createDataFrame(rows, "name string, status string, seconds double, error string")
+
+
 def cached(spark: SparkSession, directory: str, recorded: DataFrame | None, produce: Callable[[], None]) -> bool:
     """True if the files of ``directory`` are those recorded (path, bytes,
     sha256); otherwise ``produce`` runs and False is returned."""

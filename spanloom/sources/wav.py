@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "path string, rate int, samples long, pcm binary"
@@ -64,12 +65,14 @@ def read(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """(path, rate, samples, pcm), one row per file."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            got = [(name, *parse(bytes(c), strict)) for name, c in zip(p["path"], p["content"])]
-            yield pd.DataFrame([(n, r, len(x) // 4, x) for n, r, x in got], columns=["path", "rate", "samples", "pcm"])
+    # Spark bounds the bytes of the batches that come in; each file goes out by itself
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rate, x = parse(content.as_py(), strict)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rate], pa.int32()), pa.array([len(x) // 4], pa.int64()), pa.array([x], pa.binary())], names=["path", "rate", "samples", "pcm"])
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.mapInArrow(run, SCHEMA)
 
 
 def samples(signals: DataFrame, block: int = 65_536) -> DataFrame:
