@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
                     if c is None:
                         c = seen[t] = [0, 0]
                     c[y] += 1
-                if len(seen) > 400_000:
+                if len(seen) > 150_000:
                     yield pd.DataFrame([(t, c[1], c[0]) for t, c in seen.items()], columns=["t", "c1", "c0"])
                     seen = {}
         yield pd.DataFrame([(t, c[1], c[0]) for t, c in seen.items()], columns=["t", "c1", "c0"])
