@@ -127,9 +127,10 @@ def _apply(window: int, digest: bool):
 def exact_copies(docs: DataFrame) -> DataFrame:
     """(id, m) of the texts that an earlier document has whole; ``docs`` has
     (id, m) with m the digest of a row's text."""
-    hashed = docs.select("id", "m").where("m IS NOT NULL")
+    # distinct before the join, as after it the join's exchange would serve both, and AQE then leaves it whole
+    hashed = docs.select("id", "m").where("m IS NOT NULL").distinct()
     first = materialize(hashed.groupBy("m").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "firsts")
-    return hashed.join(first.hint("shuffle_hash"), "m").where("id > first").select("id", "m").distinct()
+    return hashed.join(first.hint("shuffle_hash"), "m").where("id > first").select("id", "m")
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
