@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanloom.operators.scratch import materialize, release, shared_dir, small_side  # noqa: F401
 
@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *cols: Column | str) -> DataFrame:
+    """The rows of ``docs`` as one struct ``_row`` beside some columns, so that no
+    name of theirs clashes with what an operator adds; ``_row.*`` gives them back."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *cols)
+
+
 def least_hashed(df: DataFrame, n: int, *by: str) -> DataFrame:
     """At most ``n`` rows of ``df``: those of the least hashes of the columns
     ``by``; rows that agree in all of these count once.

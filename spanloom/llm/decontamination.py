@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanloom.llm.common import SHINGLE_WORDS, SIMILARITY, materialize, small_side
+from spanloom.llm.common import SHINGLE_WORDS, SIMILARITY, materialize, packed, small_side
 
 _NULL_ID = -(1 << 63)
 _ROW = ["id", "h1", "h2"]
@@ -154,5 +154,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = SI
     doc_id; clean rows of the same or of no doc_id stay, and so do null texts.
     All columns stay as they are."""
     bad = materialize(found_rows(docs, items, containment).select(*[F.col(c).alias(f"_{c}") for c in _ROW]).distinct(), "contaminated")
-    on = [k.eqNullSafe(F.col(f"_{c}")) for k, c in zip(_row_key(), _ROW)]
-    return docs.join(small_side(bad, bad.count()), on[0] & on[1] & on[2], "left_anti")
+    keys = [f"_{c}" for c in _ROW]
+    own = packed(docs, *[F.coalesce(k, F.lit(0)).alias(c) for k, c in zip(_row_key(), keys)])
+    return own.join(small_side(bad, bad.count()), keys, "left_anti").select("_row.*")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanloom.llm.common import WORD_SQL, materialize, small_side
+from spanloom.llm.common import WORD_SQL, materialize, packed, small_side
 
 SEEDS = 32
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -102,7 +102,12 @@ def assign(docs: DataFrame, **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it."""
+    """``docs`` with each row repeated as often as the mix takes it.
+
+    Null texts have no words and a null source is a source; a source without
+    words has target 0, so its rows go.  Equal rows decide alike.  All columns
+    stay as they are.  An empty table gives an empty result.
+    """
     rates, n = plan(docs, **how)
-    out = _copies(docs, rates, n).where("_mix_copies > 0")
-    return out.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+    out = _copies(packed(docs, "doc_id", "source"), rates, n).where("_mix_copies > 0")
+    return out.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select("_row.*")

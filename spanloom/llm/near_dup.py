@@ -39,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanloom.llm.common import SIMILARITY, labelled, labelled_shingles, materialize, mix, occurrence, plain_shingles, release, signed, small_side, words
+from spanloom.llm.common import SIMILARITY, labelled, labelled_shingles, materialize, mix, occurrence, packed, plain_shingles, release, signed, small_side, words
 from spanloom.llm.graph import connected_components
 
 SKETCHES = 40
@@ -414,11 +414,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = _grouped(docs).groupBy("id").agg(F.min("component").alias("component"), F.min(F.struct("hi", "lo")).alias("f"))
     keep = materialize(rows.where("id = component").select(F.col("id").alias("_k"), F.col("f.hi").alias("_hi"), F.col("f.lo").alias("_lo")), "kept")
-    marked = docs.withColumns(dict(zip(("_k", "_hi", "_lo"), _row_key())))
+    marked = packed(docs, *[c.alias(n) for c, n in zip(_row_key(), ("_k", "_hi", "_lo"))])
     chosen = marked.join(keep, ["_k", "_hi", "_lo"], "left_semi")
     again = marked.groupBy("_k", "_hi", "_lo").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     again = materialize(again, "again")
     n = again.count()
     once = chosen.join(small_side(again, n), ["_k", "_hi", "_lo"], "left_anti")
     twice = chosen.join(small_side(again, n), ["_k", "_hi", "_lo"], "left_semi").dropDuplicates(["_k", "_hi", "_lo"])
-    return once.unionByName(twice).drop("_k", "_hi", "_lo")
+    return once.unionByName(twice).select("_row.*")

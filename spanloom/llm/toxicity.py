@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from spanloom.llm.common import least_hashed, materialize, small_side
+from spanloom.llm.common import least_hashed, materialize, packed, small_side
 
 MAX_ROWS = 20_000
 _LENGTHS = range(3, 13)
@@ -257,7 +257,4 @@ def reject_toxic(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataF
     """``docs`` without those of a score of ``least`` or more.  Null texts count
     as empty; rows without a doc_id and repeated rows are judged by their texts;
     all columns stay as they are, one named score too."""
-    if "score" not in docs.columns:
-        return score(docs, lexicon).where(F.col("score") < least).drop("score")
-    own = docs.withColumnRenamed("score", "_own_score")
-    return score(own, lexicon).where(F.col("score") < least).drop("score").withColumnRenamed("_own_score", "score").select(*docs.columns)
+    return score(packed(docs, "text"), lexicon).where(F.col("score") < least).select("_row.*")
