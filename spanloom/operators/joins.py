@@ -64,18 +64,13 @@ def asof_join(left: DataFrame, right: DataFrame, key: list[str], left_at: str, r
     One union and one running window, no pairs: linear in both sides.
     """
     cols = [c for c in right.columns if c not in key]
-    side = 0 if direction == "backward" else 1
-    l = left.select(*key, F.col(left_at).alias("_at"), F.lit(1 - side).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*cols).alias("x")).schema["x"].dataType).alias("_r"))
-    r = right.select(*key, F.col(right_at).alias("_at"), F.lit(side).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_l"), F.struct(*cols).alias("_r"))
-    w = Window.partitionBy(*key).orderBy("_at", "_side")
-    if direction == "backward":
-        found = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        w = Window.partitionBy(*key).orderBy("_at", F.col("_side").asc())
-        l = l.withColumn("_side", F.lit(0))
-        r = r.withColumn("_side", F.lit(1))
-        found = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = l.unionByName(r).withColumn("_found", found).where(F.col("_l").isNotNull())
+    kind = lambda df, names: df.select(F.struct(*names).alias("x")).schema["x"].dataType
+    l = left.select(*key, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(kind(right, cols)).alias("_r"))
+    r = right.select(*key, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(kind(left, left.columns)).alias("_l"), F.struct(*cols).alias("_r"))
+    # both directions run over rows already seen: a frame that reaches ahead would be read again for each row
+    at = F.col("_at") if direction == "backward" else F.col("_at").desc()
+    w = Window.partitionBy(*key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = l.unionByName(r).withColumn("_found", F.last("_r", ignorenulls=True).over(w)).where(F.col("_l").isNotNull())
     return both.select("_l.*", *[F.col(f"_found.{c}").alias(c) for c in cols])
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanloom.functions.text import cut_spans, ordered_flags, sentence_id, sentence_spans
+from spanloom.functions.text import cut_spans, ordered_flags, running_offsets, sentence_id, sentence_spans
 from spanloom.operators import intervals, joins, sessionize
 from spanloom.operators.align import MAX_GAP, REPAIR_GATE, SNAP
 from spanloom.operators.intervals import is_finite
@@ -43,6 +43,12 @@ def chunk_spans(texts: DataFrame, regions: DataFrame | None) -> DataFrame:
     return spans.join(text, "rec").select("rec", "a", "b", F.coalesce("split_a", F.lit(False)).alias("split_a"), F.coalesce("split_b", F.lit(False)).alias("split_b"), part.alias("sentence"))
 
 
+def word_ends(texts: DataFrame) -> DataFrame:
+    """(rec, _wa, _wb): the spans of maximal runs of letters and numbers."""
+    bits = texts.select("rec", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))).alias("_run", "_bit"))
+    return running_offsets(bits, ["rec"], "_run", F.length("_bit")).where(F.col("_bit").rlike(r"^[\p{L}\p{N}]")).select("rec", F.col("a").alias("_wa"), F.col("b").alias("_wb"))
+
+
 def boundaries(spans: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFrame:
     """Inner ends of sentences with the tokens around them.
 
@@ -56,9 +62,10 @@ def boundaries(spans: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFra
     t = F.struct("idx", "xa", "xb", "ra", "rb", "eligible").alias("t")
     left = joins.asof_join(cuts, mapped.select("rec", F.col("xb").cast("long").alias("_lx"), t), ["rec"], "cut", "_lx").withColumnRenamed("t", "l").drop("_lx")
     both = joins.asof_join(left, mapped.select("rec", F.col("xa").cast("long").alias("_rx"), t), ["rec"], "cut", "_rx", "forward").withColumnRenamed("t", "r").drop("_rx")
-    met = both.join(texts.select("rec", "text", "duration"), "rec")
+    # the first word that ends behind the left token must not begin before the right one
+    both = joins.asof_join(both.withColumn("_from", (F.col("l.xb") + 1).cast("long")), word_ends(texts), ["rec"], "_from", "_wb", "forward")
+    met = both.join(texts.select("rec", "duration"), "rec")
     missing = F.col("l").isNull() | F.col("r").isNull()
-    between = F.expr("substring(text, l.xb + 1, greatest(0, r.xa - l.xb))")
     lv, rv = (raw_valid(F.col(f"{s}.ra"), F.col(f"{s}.rb"), F.col("duration")) for s in "lr")
     gap = F.col("r.ra") - F.col("l.rb")
     ok = lambda c: F.coalesce(c, F.lit(False))
@@ -66,7 +73,7 @@ def boundaries(spans: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFra
         (F.col("seam"), "source_chunk_boundary_not_sentence_boundary"),
         (missing, "missing_adjacent_mapped_token"),
         (ok(~missing & (F.col("r.idx") != F.col("l.idx") + 1)), "adjacent_tokens_not_consecutive"),
-        (ok(~missing & between.rlike(r"[\p{L}\p{N}]")), "unmapped_lexical_characters_at_boundary"),
+        (ok(~missing & (F.col("_wa") < F.col("r.xa"))), "unmapped_lexical_characters_at_boundary"),
         (ok(~missing & ~(F.col("l.eligible") & lv & F.col("r.eligible") & rv)), "adjacent_token_timing_ineligible"),
         (ok(~missing & lv & rv & ((gap < 0) | (gap > MAX_GAP))), "adjacent_token_gap_or_overlap_unsafe"),
     )
