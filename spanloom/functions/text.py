@@ -69,6 +69,12 @@ def is_lexical(c: Column) -> Column:
     return c.rlike(r"[\p{L}\p{N}']")
 
 
+def json_pointer(*parts: Column) -> Column:
+    """The JSON pointer to a place: ``~`` and ``/`` in names are escaped; null
+    where a part is null."""
+    return F.concat(F.lit(""), *[F.concat(F.lit("/"), F.replace(F.replace(p.cast("string"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))) for p in parts])
+
+
 def ordered_flags(*pairs: tuple[Column, str]) -> Column:
     """The names whose condition holds, in the order given."""
     return F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in pairs]), lambda x: x.isNotNull())

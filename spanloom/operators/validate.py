@@ -111,3 +111,11 @@ def descendants(spark: SparkSession, parents: DataFrame, root: int) -> DataFrame
         if level.isEmpty():
             return seen
         seen = seen.union(level)
+
+
+def version_mismatches(pinned: DataFrame, installed: DataFrame) -> DataFrame:
+    """(name, expected, actual): pinned packages (name, version) that are
+    missing (null) or of another version; others that are there do not count."""
+    own = installed.select("name", F.col("version").alias("actual"))
+    met = pinned.select("name", F.col("version").alias("expected")).join(own, "name", "left")
+    return met.where(~F.col("expected").eqNullSafe(F.col("actual")))

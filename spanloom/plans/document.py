@@ -10,12 +10,16 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from spanloom.functions.text import json_pointer
 from spanloom.operators import audit as au, partition, review as rv, sessionize, turns, validate as va
 from spanloom.operators.intervals import is_finite
 from spanloom.operators.scratch import materialize
 from spanloom.sources import documents, wav
 
 STATES = ["single", "mixed", "unknown"]
+# What an export tells of a model, and the parts of a document that it points to.
+MODEL_FIELDS = ["repo", "revision", "license", "model", "purpose"]
+POINTED = ["raw_sources", "provenance", "qwen_settings", "diarization_metadata", "review"]
 TIME_KINDS = ["forced_alignment_token_envelope", "source_chunk_envelope_fallback", "source_clip_envelope_fallback"]
 
 
@@ -130,6 +134,75 @@ def markdown(rendered: DataFrame, title: str = "Unverified transcript") -> DataF
     return rendered.select("rec", F.concat(head, F.regexp_replace("body", "\n", "\n\n"), F.lit("\n")).alias("body"))
 
 
+def model_metadata(models: DataFrame) -> DataFrame:
+    """(rec, models): by name, what a reader needs of each model (rec, name,
+    recorded map<string,string>, manifest), and a pointer to all of it.  Names are
+    unique in a recording; a repeated one fails."""
+    short = F.map_filter("recorded", lambda k, _: k.isin(*MODEL_FIELDS))
+    place = json_pointer(F.lit("provenance"), F.lit("models"), F.col("name"))
+    one = F.struct("name", F.struct(short.alias("recorded"), "manifest", place.alias("full_metadata_pointer")).alias("model"))
+    return models.groupBy("rec").agg(F.map_from_entries(F.collect_list(one)).alias("models"))
+
+
+def source_metadata(doc: Document, models: DataFrame | None = None) -> DataFrame:
+    """(rec, artifact_id, speakers, counts, pointers, models): one row for each
+    recording, which tells what its exports hold and where the rest lies."""
+    count = lambda df, name: df.groupBy("rec").agg(F.count("*").alias(name))
+    names = doc.speakers.groupBy("rec").agg(F.array_sort(F.collect_list("label")).alias("speakers"))
+    own = artifact_ids(doc).join(names, "rec", "left").join(count(doc.rows, "_rows"), "rec", "left").join(count(doc.differences, "_diffs"), "rec", "left")
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    counts = F.struct(n(F.col("_rows")).alias("segments"), n(F.col("_diffs")).alias("differences"))
+    pointers = F.struct(*[json_pointer(F.lit(p)).alias(p) for p in POINTED])
+    own = own.select("rec", "artifact_id", F.coalesce("speakers", F.array().cast("array<string>")).alias("speakers"), counts.alias("counts"), pointers.alias("pointers"))
+    return own if models is None else own.join(model_metadata(models), "rec", "left")
+
+
+def save_candidates(rows: DataFrame, texts: DataFrame, path: str) -> None:
+    """Attributed sentences (``turns.attribute``) to a new place, unverified:
+    their table, a readable list for each recording, and the texts as they came."""
+    documents.write_json(rows.repartitionByRange("rec").sortWithinPartitions("rec", "a"), f"{path}/candidates.jsonl")
+    documents.write_text(candidate_list(rows), "body", f"{path}/candidates.md")
+    documents.write_json(texts.select("rec", "text"), f"{path}/text.jsonl")
+
+
+def candidate_list(rows: DataFrame) -> DataFrame:
+    """(rec, body): each sentence with its seconds, speakers, main candidate,
+    state and flags, in order."""
+    or_else = lambda c, other: F.when(F.length(c) > 0, c).otherwise(F.lit(other))
+    who, main = or_else(F.array_join("speakers", ", "), "unknown speaker"), or_else(F.col("main").cast("string"), "none")
+    said = F.format_string("[%.3f-%.3f] %s (main candidate: %s)\n%s\n\nstate: %s / %s\n", "start", "end", who, main, "text", "state", F.array_join("flags", ", "))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("a", said.alias("said")))), lambda x: x["said"])
+    return rows.groupBy("rec").agg(F.concat(F.lit("# Speaker candidates\n\nTexts, speakers and times are unverified.\n\n"), F.array_join(body, "\n")).alias("body"))
+
+
+def clip_problems(clips: DataFrame) -> DataFrame:
+    """(rec, problem): why an aligned clip cannot become a document.
+
+    ``clips`` is (rec, status, limited, text, aligned_text, sha256,
+    recorded_sha256, pcm, aligned_pcm): the alignment must be complete, the
+    transcription not cut off, and both made from the same text and sound.
+    Nulls count as broken.
+    """
+    rules = [
+        (F.col("status") == "completed", "alignment_not_completed"),
+        (F.col("sha256") == F.col("recorded_sha256"), "audio_changed"),
+        (~F.col("limited"), "token_limit_reached"),
+        (F.col("text") == F.col("aligned_text"), "text_differs"),
+        (F.col("pcm") == F.col("aligned_pcm"), "sound_differs"),
+    ]
+    broken = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for ok, name in rules])
+    return clips.select("rec", F.explode(F.array_compact(broken)).alias("problem"))
+
+
+def review_document(clips: DataFrame, tokens: DataFrame, events: DataFrame, readings: DataFrame | None = None, regions: DataFrame | None = None) -> Document:
+    """The document of single aligned clips: ``clips`` has what ``clip_problems``
+    asks for and their ``offset`` and ``duration``.  All must be sound."""
+    bad = clip_problems(clips).groupBy("problem").agg(F.count("*").alias("n"), F.min(F.col("rec").cast("string")).alias("first")).orderBy("problem").collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['problem']}: {r['n']} clips, the first {r['first']}" for r in bad))
+    return make_document(clips.select("rec", "text", "offset", "duration"), tokens, events, readings, regions)
+
+
 def read_segments(spark: SparkSession, path: str, doc: Document) -> tuple[DataFrame, DataFrame]:
     """The segments and differences of a saved bundle, with the types of ``doc``."""
     segments, differences = source_material(doc)
