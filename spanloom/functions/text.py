@@ -6,7 +6,9 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Fixed value: one sentence, without loss.  A full stop between digits is no end.
@@ -35,6 +37,28 @@ def running_offsets(df: DataFrame, key: list[str], order: str, length: Column, s
     return df.withColumn("a", before).withColumn("b", (F.col("a") + length).cast("long"))
 
 
+def word_spans(text: Column) -> Column:
+    """(idx, xa, xb) of the words between single spaces; empty words count but
+    have no span.  Spark has no running sum inside arrays."""
+
+    @F.arrow_udf("array<struct<idx:int,xa:int,xb:int>>")
+    def run(column: pa.Array) -> pa.Array:
+        texts = [t or "" for t in column.to_pylist()]
+        chars = np.frombuffer("".join(t + " " for t in texts).encode("utf-32-le"), np.uint32)
+        ends = np.flatnonzero(chars == 32)
+        starts = np.concatenate([[0], ends + 1])[:-1]
+        base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+        row = np.searchsorted(base, starts, "right") - 1
+        words = np.bincount(row, minlength=len(texts))
+        idx = np.arange(len(row)) - np.repeat(np.cumsum(words) - words, words)
+        real = ends > starts
+        fields = [pa.array(x[real], pa.int32()) for x in (idx, starts - base[row], ends - base[row])]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[real], minlength=len(texts)))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=["idx", "xa", "xb"]))
+
+    return run(text)
+
+
 def cut_spans(df: DataFrame, key: list[str], cuts: list[DataFrame], total: Column) -> DataFrame:
     """(key, a, b) between neighbouring cuts: 0, the total, and all (key, cut)."""
     every = df.select(*key, F.explode(F.array(F.lit(0).cast("long"), total.cast("long"))).alias("cut"))

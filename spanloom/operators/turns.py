@@ -8,30 +8,22 @@ Token times are clip seconds, spans code points, null where unmapped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from spanloom.functions.text import cut_spans, ordered_flags, running_offsets, sentence_id, sentence_spans
-from spanloom.operators import intervals, joins, sessionize
-from spanloom.operators.align import MAX_GAP, REPAIR_GATE, SNAP
-from spanloom.operators.intervals import is_finite
+from spanloom.functions.text import cut_spans, ordered_flags, sentence_id, sentence_spans, sentences
+from spanloom.operators import intervals, joins, placing, sessionize
+from spanloom.operators.align import SNAP
 from spanloom.operators.scratch import materialize
 
 BRIEF_SECONDS = 2.5
-#: Characters of a bucket in which sentences and tokens meet.
+#: Characters of a bucket in which sentences and changes meet.
 CHARACTERS = 400
 
 
-def raw_valid(a: Column, b: Column, duration: Column) -> Column:
-    return F.coalesce(is_finite(a) & is_finite(b) & (a >= 0) & (a < b) & (b <= duration), F.lit(False))
-
-
-def chunk_spans(texts: DataFrame, regions: DataFrame | None) -> DataFrame:
+def chunk_spans(texts: DataFrame, regions: DataFrame) -> DataFrame:
     """(rec, a, b, split_a, split_b, sentence): sentences, cut at the starts of
     later regions too; a split marks an end that is such a cut only."""
     natural = sentence_spans(texts, ["rec"])
-    if regions is None:
-        none = F.lit(False)
-        return natural.select("rec", "a", "b", none.alias("split_a"), none.alias("split_b"), "sentence")
     w = Window.partitionBy("rec").orderBy("xa")
     seams = regions.withColumn("_k", F.row_number().over(w)).where("_k > 1").select("rec", F.col("xa").cast("long").alias("cut"))
     only = seams.join(natural.select("rec", F.col("b").alias("cut")), ["rec", "cut"], "left_anti").withColumn("_seam", F.lit(True))
@@ -43,42 +35,28 @@ def chunk_spans(texts: DataFrame, regions: DataFrame | None) -> DataFrame:
     return spans.join(text, "rec").select("rec", "a", "b", F.coalesce("split_a", F.lit(False)).alias("split_a"), F.coalesce("split_b", F.lit(False)).alias("split_b"), part.alias("sentence"))
 
 
-def word_ends(texts: DataFrame) -> DataFrame:
-    """(rec, _wa, _wb): the spans of maximal runs of letters and numbers."""
-    bits = texts.select("rec", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))).alias("_run", "_bit"))
-    return running_offsets(bits, ["rec"], "_run", F.length("_bit")).where(F.col("_bit").rlike(r"^[\p{L}\p{N}]")).select("rec", F.col("a").alias("_wa"), F.col("b").alias("_wb"))
+def placed_sentences(texts: DataFrame, tokens: DataFrame | None, regions: DataFrame | None) -> DataFrame:
+    """The sentences of ``texts`` beside their tokens (``placing.placed``);
+    without ``tokens`` the texts carry them, packed."""
+    if tokens is not None:
+        texts = texts.join(placing.pack_tokens(tokens), "rec", "left")
+    one = ("sentence", "split_a", "split_b")
+    if regions is None:
+        uncut = F.transform(sentences(F.col("text")), lambda x: F.struct(x.alias("sentence"), F.lit(False).alias("split_a"), F.lit(False).alias("split_b")))
+        return placing.placed(texts.withColumn("said", uncut), None, None)
+    cut = chunk_spans(texts, regions).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("a", *one))).alias("said"))
+    return placing.placed(texts, cut.withColumn("said", F.transform("said", lambda x: F.struct(*[x[c].alias(c) for c in one]))), regions)
 
 
-def boundaries(spans: DataFrame, tokens: DataFrame, texts: DataFrame) -> DataFrame:
-    """Inner ends of sentences with the tokens around them.
+def boundaries(placed: DataFrame) -> DataFrame:
+    """Inner ends of placed sentences with the tokens around them.
 
     (rec, cut, left, right, flags, eligible, at): ``left`` is the last mapped
     token that ends by the cut, ``right`` the first that starts at it or later.
     A boundary without flags has the raw end of its left token as time.
     """
-    w = Window.partitionBy("rec").orderBy("a")
-    cuts = spans.withColumn("_more", F.lead("a").over(w).isNotNull()).where("_more").select("rec", F.col("b").alias("cut"), F.col("split_b").alias("seam"))
-    mapped = tokens.where("xa IS NOT NULL")
-    t = F.struct("idx", "xa", "xb", "ra", "rb", "eligible").alias("t")
-    left = joins.asof_join(cuts, mapped.select("rec", F.col("xb").cast("long").alias("_lx"), t), ["rec"], "cut", "_lx").withColumnRenamed("t", "l").drop("_lx")
-    both = joins.asof_join(left, mapped.select("rec", F.col("xa").cast("long").alias("_rx"), t), ["rec"], "cut", "_rx", "forward").withColumnRenamed("t", "r").drop("_rx")
-    # the first word that ends behind the left token must not begin before the right one
-    both = joins.asof_join(both.withColumn("_from", (F.col("l.xb") + 1).cast("long")), word_ends(texts), ["rec"], "_from", "_wb", "forward")
-    met = both.join(texts.select("rec", "duration"), "rec")
-    missing = F.col("l").isNull() | F.col("r").isNull()
-    lv, rv = (raw_valid(F.col(f"{s}.ra"), F.col(f"{s}.rb"), F.col("duration")) for s in "lr")
-    gap = F.col("r.ra") - F.col("l.rb")
-    ok = lambda c: F.coalesce(c, F.lit(False))
-    flags = ordered_flags(
-        (F.col("seam"), "source_chunk_boundary_not_sentence_boundary"),
-        (missing, "missing_adjacent_mapped_token"),
-        (ok(~missing & (F.col("r.idx") != F.col("l.idx") + 1)), "adjacent_tokens_not_consecutive"),
-        (ok(~missing & (F.col("_wa") < F.col("r.xa"))), "unmapped_lexical_characters_at_boundary"),
-        (ok(~missing & ~(F.col("l.eligible") & lv & F.col("r.eligible") & rv)), "adjacent_token_timing_ineligible"),
-        (ok(~missing & lv & rv & ((gap < 0) | (gap > MAX_GAP))), "adjacent_token_gap_or_overlap_unsafe"),
-    )
-    out = met.withColumn("flags", flags).withColumn("eligible", F.size("flags") == 0)
-    return out.select("rec", "cut", F.col("l.idx").alias("left"), F.col("r.idx").alias("right"), "flags", "eligible", F.when(F.col("eligible"), F.col("l.rb")).alias("at"))
+    flags = ordered_flags(*[(F.col("bits").bitwiseAND(1 << k) != 0, f) for k, f in enumerate(placing.BOUNDARY_FLAGS)])
+    return placed.where("inner").select("rec", F.col("b").alias("cut"), "left", "right", flags.alias("flags"), (F.col("bits") == 0).alias("eligible"), "at")
 
 
 def snap_transitions(changes: DataFrame, bounds: DataFrame, gates: DataFrame, snap: float = SNAP) -> DataFrame:
@@ -89,7 +67,7 @@ def snap_transitions(changes: DataFrame, bounds: DataFrame, gates: DataFrame, sn
     resolved, or unresolved: none near, or neighbours among those that snapped
     whose offsets do not rise.  Conflicting ones keep their snapped values.
     """
-    open_ = bounds.where("eligible").select("rec", "cut", F.col("at").alias("snapped"))
+    open_ = bounds.where("eligible").join(changes.select("rec").distinct(), "rec", "left_semi").select("rec", "cut", F.col("at").alias("snapped"))
     met = changes.join(gates, "rec", "left").withColumn("gated", F.coalesce("gated", F.lit(False)))
     near = joins.nearest_join(met, open_, ["rec"], "at", "snapped", snap, ["cut"])
     near = near.withColumns({"cut": F.when(~F.col("gated"), F.col("cut")), "snapped": F.when(~F.col("gated"), F.col("snapped"))})
@@ -102,58 +80,29 @@ def snap_transitions(changes: DataFrame, bounds: DataFrame, gates: DataFrame, sn
     })
 
 
-def attribute(texts: DataFrame, tokens: DataFrame, events: DataFrame, regions: DataFrame | None = None, snap: float = SNAP, anchor: float = sessionize.ANCHOR_SECONDS) -> DataFrame:
+def attribute(texts: DataFrame, tokens: DataFrame | None, events: DataFrame, regions: DataFrame | None = None, snap: float = SNAP, anchor: float = sessionize.ANCHOR_SECONDS) -> DataFrame:
     """One row per sentence: text, span, time, speaker if it is safe, flags.
 
     (rec, id, start, end, text, a, b, speakers, main, state, flags, time_kind,
     events, other_events, overlaps).  Doubt leaves ``speakers`` empty; times
     are never interpolated but fall back to the extent of the source chunk.
+    Without ``tokens``, ``texts`` carry them in a column ``tokens`` of arrays of
+    ``placing.packed``: then no text and no token is shuffled here.
     """
     composite = regions is not None
-    live = intervals.clip(events.join(texts.select("rec", "duration"), "rec"), F.lit(0.0), F.col("duration")).drop("duration")
-    groups = sessionize.activity_candidates(live, anchor=anchor)
-    lasting = groups.where("activity = 'sustained'")
+    spans = materialize(placed_sentences(texts, tokens, regions).drop("left", "right"))
+    known = spans.groupBy("rec").agg(F.any_value("duration").alias("duration"), F.any_value("gated").alias("gated"))
+    # only sentences of recordings with events go into the joins below
+    live = materialize(intervals.clip(events.join(known.select("rec", "duration"), "rec"), F.lit(0.0), F.col("duration")).drop("duration"))
+    lasting = materialize(sessionize.activity_candidates(live, anchor=anchor).where("activity = 'sustained'").select("rec", "spk", "grp", "a", "b"))
     turns = sessionize.major_turns(lasting, "rec", ["a", "b", "spk"], "spk").groupBy("rec", "turn", "spk").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     grouped = sessionize.coalesce_activity(live.select("rec", "id", "spk", "a", "b")).join(lasting.select("rec", "spk", "grp", F.lit(True).alias("lasting")), ["rec", "spk", "grp"], "left").withColumn("lasting", F.coalesce("lasting", F.lit(False)))
-    if regions is None:
-        regions = texts.select("rec", F.lit(0).alias("xa"), F.length("text").alias("xb"), F.lit(0.0).alias("start"), F.col("duration").alias("end"), F.lit(None).cast("int").alias("part"))
-    spans = materialize(chunk_spans(texts, regions if composite else None))
-    gates = texts.select("rec").join(tokens.groupBy("rec").agg((F.sum(F.col("repaired").cast("long")) / F.count("*") > REPAIR_GATE).alias("over")), "rec", "left")
-    gates = gates.select("rec", (F.col("over").isNull() | (F.lit(not composite) & F.col("over"))).alias("gated"))
-    moves = materialize(snap_transitions(sessionize.transitions(turns, "rec", "spk"), boundaries(spans, tokens, texts), gates, snap))
+    changes = sessionize.transitions(turns, "rec", "spk")
+    bounds = spans.where("inner AND bits = 0").select("rec", F.col("b").alias("cut"), F.lit(True).alias("eligible"), "at")
+    moves = materialize(snap_transitions(changes, bounds, known.select("rec", "gated"), snap))
     first = turns.where("turn = 0").select("rec", F.col("spk").alias("first_speaker"))
-
-    number = F.row_number().over(Window.partitionBy("rec").orderBy("a")) - 1
-    s = spans.withColumn("pos", number).join(texts.select("rec", "offset", "duration"), "rec").join(gates, "rec").join(first, "rec", "left")
-    area = regions.select("rec", F.col("xa").alias("_xa"), F.col("xb").alias("_xb"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    s = joins.point_in_interval(s, area, ["rec"], "a", "_xa", "_xb").where("_xa IS NOT NULL").drop("_xa", "_xb")
-
-    # tokens of a sentence, and what their times allow
-    held = tokens.where("xa IS NOT NULL").withColumns({"xa": F.col("xa").cast("long"), "xb": F.col("xb").cast("long")})
-    t = joins.interval_join(s.select("rec", "pos", "a", "b", "duration", "r_start", "r_end"), held, ["rec"], CHARACTERS, ("a", "b"), ("xa", "xb"))
-    usable = raw_valid(F.col("ra"), F.col("rb"), F.col("duration")) & (F.col("ra") >= F.col("r_start")) & (F.col("rb") <= F.col("r_end"))
-    t = t.withColumn("usable", usable)
-    w = Window.partitionBy("rec", "pos", "usable").orderBy("idx")
-    t = t.withColumn("falls", F.col("usable") & F.coalesce((F.col("ra") < F.lag("ra").over(w)) | (F.col("rb") < F.lag("rb").over(w)), F.lit(False)))
-    has = lambda f: F.array_contains(F.coalesce("flags", F.array().cast("array<string>")), f)
-    per = t.groupBy("rec", "pos").agg(
-        F.count("*").alias("n"), F.sum(F.col("usable").cast("int")).alias("n_usable"), F.bool_or("falls").alias("falls"),
-        F.bool_or(has("raw_nonmonotonic_sequence")).alias("bad_order"),
-        F.min_by("ra", F.when(F.col("usable"), F.col("idx"))).alias("t_start"), F.max_by("rb", F.when(F.col("usable"), F.col("idx"))).alias("t_end"),
-        F.bool_or((F.size(F.coalesce("flags", F.array().cast("array<string>"))) > 0) | F.col("repaired")).alias("flagged"),
-        F.bool_or(has("alignment_chunk_repair_gate")).alias("child_gate"), F.count_distinct("part").alias("n_parts"),
-        F.sort_array(F.collect_list(F.struct("xa", "xb"))).alias("held"),
-    )
-    s = s.join(per, ["rec", "pos"], "left")
-    # lexical characters outside of all tokens: blank out each token, then look
-    bare = F.expr(
-        "aggregate(coalesce(held, array()), sentence, (acc, h) -> overlay(acc PLACING repeat(' ', greatest(0, least(h.xb, b) - greatest(h.xa, a))) "
-        "FROM int(greatest(h.xa, a) - a + 1) FOR int(greatest(0, least(h.xb, b) - greatest(h.xa, a)))))"
-    )
-    s = s.withColumn("unmapped", bare.rlike(r"[\p{L}\p{N}]"))
-    safe = F.coalesce((F.col("n") == F.col("n_usable")) & ~F.col("falls") & ~F.col("bad_order") & (F.col("n_usable") > 0), F.lit(False)) & ~F.col("unmapped")
-    s = s.withColumns({"timed": safe, "start": F.when(safe, F.col("t_start")).otherwise(F.col("r_start")), "end": F.when(safe, F.col("t_end")).otherwise(F.col("r_end"))})
-    s = materialize(s.drop("held"))
+    whole = spans.where("inside")
+    s = whole.join(live.select("rec").distinct(), "rec", "left_semi").select("rec", "pos", "a", "b", "start", "end").join(first, "rec", "left")
 
     # the last applicable change decides; one inside makes the row unsafe
     # resolved ones apply in text, the others in time
@@ -169,7 +118,7 @@ def attribute(texts: DataFrame, tokens: DataFrame, events: DataFrame, regions: D
     point = lambda df, c: df.select("rec", F.col(c).alias("_p"), F.col(c).alias("_q"))
     met = joins.interval_join(s.select("rec", "pos", "a", "b"), point(cuts, "m_cut"), ["rec"], CHARACTERS, ("a", "b"), ("_p", "_q")).select("rec", "pos")
     met = met.union(joins.interval_join(s.select("rec", "pos", "start", "end"), point(times, "m_at"), ["rec"], sessionize.BUCKET, ("start", "end"), ("_p", "_q")).select("rec", "pos"))
-    s = materialize(s.join(met.distinct().withColumn("cut_inside", F.lit(True)), ["rec", "pos"], "left"))
+    s = materialize(s.join(met.distinct().withColumn("cut_inside", F.lit(True)), ["rec", "pos"], "left").drop("a", "b", "first_speaker"))
 
     # activity in the sentence's time
     e = grouped.select("rec", F.col("id").alias("eid"), F.col("spk").alias("espk"), F.col("a").alias("ea"), F.col("b").alias("eb"), "lasting")
@@ -187,21 +136,21 @@ def attribute(texts: DataFrame, tokens: DataFrame, events: DataFrame, regions: D
     lo, hi = F.greatest("l.start", "l.ea", "r.ea"), F.least("l.end", "l.eb", "r.eb")
     pairs = l.join(r, (F.col("l.rec") == F.col("r.rec")) & (F.col("l.pos") == F.col("r.pos")) & (F.struct("l.ea", "l.eb", "l.eid") < F.struct("r.ea", "r.eb", "r.eid")) & (F.col("l.espk") != F.col("r.espk"))).where(lo < hi)
     both = pairs.groupBy("l.rec", "l.pos").agg(F.array_sort(F.collect_list(F.struct(lo.alias("start"), hi.alias("end"), F.col("l.eid").alias("left"), F.col("r.eid").alias("right")))).alias("overlaps"))
-    s = s.join(seen, key, "left").join(exposed, key, "left").join(both, key, "left")
+    found = s.drop("start", "end").join(seen, key, "left").join(exposed, key, "left").join(both, key, "left")
+    s = whole.join(found, key, "left")
 
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    split, crosses = F.col("split_a") | F.col("split_b"), F.coalesce(F.col("n_parts") > 1, F.lit(False))
-    doubt = F.col("unmapped") | yes("child_gate") | crosses | split | yes("cut_inside") | yes("exposed")
+    doubt = F.col("unmapped") | F.col("child_gate") | F.col("crosses") | F.col("split") | yes("cut_inside") | yes("exposed")
     unsafe = doubt | ~yes("supported") | ~F.col("timed")
     short = F.col("end") - F.col("start") < BRIEF_SECONDS
     flags = ordered_flags(
         (F.lit(True), "not_human_verified"),
         (F.lit(True), "asr_text_accuracy_not_established"),
         (~F.col("timed"), "broad_playback_timing_fallback"),
-        (yes("flagged"), "contains_flagged_alignment_tokens"),
-        (yes("child_gate"), "alignment_chunk_repair_gate"),
-        (crosses, "alignment_chunk_seam_inside_sentence"),
-        (split, "sentence_split_at_alignment_chunk_boundary"),
+        (F.col("flagged"), "contains_flagged_alignment_tokens"),
+        (F.col("child_gate"), "alignment_chunk_repair_gate"),
+        (F.col("crosses"), "alignment_chunk_seam_inside_sentence"),
+        (F.col("split"), "sentence_split_at_alignment_chunk_boundary"),
         (F.col("unmapped"), "unmapped_lexical_text_timing_unresolved"),
         (F.coalesce(F.size("other_events") > 0, F.lit(False)), "other_speaker_activity_ownership_unresolved"),
         (yes("exposed"), "unseparated_brief_other_speaker_activity"),
